@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .media_ts import load, store
 from .mixing import mix_sources
+from .sentencepiece_codec import encode_decode
 
 QUERIES = {}
 #: Full-table digests of these methods are outside SQL; tests/llm holds each against brute force instead.
@@ -20,3 +23,13 @@ def registered(f):
 @registered
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source", "passes", "source_quota")
+
+
+@registered
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_decode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@registered
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(store(read(spark, sf_dir, "documents")))

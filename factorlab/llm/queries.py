@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import read
 from .media_ts import load, store
 from .mixing import mix_sources
+from .quality_rules import judge
 from .sentencepiece_codec import encode_decode
 
 QUERIES = {}
@@ -33,3 +34,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(store(read(spark, sf_dir, "documents")))
+
+
+@registered
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")

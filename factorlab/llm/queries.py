@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .jaccard_join import link_components
 from .media_ts import load, store
 from .mixing import mix_sources
 from .quality_rules import judge
@@ -39,3 +40,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(read(spark, sf_dir, "documents")).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "distance")
+
+
+@registered
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return link_components(read(spark, sf_dir, "documents"))

@@ -11,6 +11,7 @@ from .media_ts import load, store
 from .mixing import mix_sources
 from .quality_rules import judge
 from .sentencepiece_codec import encode_decode
+from .suffix_dedup import removal_digest
 
 QUERIES = {}
 #: Full-table digests of these methods are outside SQL; tests/llm holds each against brute force instead.
@@ -45,3 +46,8 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return link_components(read(spark, sf_dir, "documents"))
+
+
+@registered
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return removal_digest(read(spark, sf_dir, "documents"))

@@ -163,7 +163,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The documents' rows, and (class, size, shingle, df) of the prefix shingles that several classes have."""
     shingle, cls, size = [], [], []
     for batch in batches:
-        docs = batch.filter(batch.column("doc_id").is_valid())
+        docs = batch.filter(batch.column("pack").is_null())
         if docs.num_rows:
             none = pa.nulls(docs.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("cls"), docs.column("n"), none, none], schema=_FACTS)
@@ -252,7 +252,7 @@ def link_components(docs: DataFrame) -> DataFrame:
     shingles and are linked with nothing. Equal texts, and texts of equal sets, are linked. An empty table gives no rows.
     """
     table = written(facts(docs))
-    own, meetings = table.filter("doc_id is not null").select("doc_id", "cls", "n"), table.filter("shingle is not null")
+    own, meetings = table.filter("shingle is null").select("doc_id", "cls", "n"), table.filter("shingle is not null")
 
     # classes that share enough, and their link shingles
     m = _links_at(F.col("n"))

@@ -12,6 +12,8 @@ from .mixing import mix_sources
 from .quality_rules import judge
 from .sentencepiece_codec import encode_decode
 from .suffix_dedup import removal_digest
+from .url_filter import judge_urls
+from .warc import archive_pages
 
 QUERIES = {}
 #: Full-table digests of these methods are outside SQL; tests/llm holds each against brute force instead.
@@ -51,3 +53,13 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return removal_digest(read(spark, sf_dir, "documents"))
+
+
+@registered
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "offset")
+
+
+@registered
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge_urls(read(spark, sf_dir, "pages"))

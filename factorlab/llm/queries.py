@@ -6,12 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read
+from .fm_classifier import score_quality
 from .jaccard_join import link_components
 from .media_ts import load, store
 from .mixing import mix_sources
 from .quality_rules import judge
 from .sentencepiece_codec import encode_decode
 from .suffix_dedup import removal_digest
+from .token_counts import count_tokens
 from .url_filter import judge_urls
 from .warc import archive_pages
 
@@ -63,3 +65,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(read(spark, sf_dir, "pages"))
+
+
+@registered
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_quality(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
+@registered
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)

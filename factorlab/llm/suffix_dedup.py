@@ -199,7 +199,7 @@ def _kept(text: str | None, spans: list[dict] | None) -> tuple[bytes, bytes, lis
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in sliced(batches, "text", 4 << 20):
-        rows = [_kept(*x) for x in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+        rows = [_kept(*x) for x in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), *(pa.array(x, pa.int64()) for x in ([len(raw) for raw, _, _ in rows], [len(raw) - len(kept) for raw, kept, _ in rows], [len(runs) for _, _, runs in rows])), pa.array([hashlib.sha256(kept).hexdigest() for _, kept, _ in rows])],
             DIGEST.names,
@@ -207,9 +207,10 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _with_spans(docs: DataFrame, size: int, gram: int) -> DataFrame:
-    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("h", F.xxhash64("text"))
-    spans = repeats(keyed.select("doc_id", "h", "text"), size, gram).groupBy("doc_id", "h").agg(F.collect_list(F.struct("a", "b")).alias("spans"))
-    return keyed.join(spans.withColumnRenamed("doc_id", "_d"), F.col("doc_id").eqNullSafe(F.col("_d")) & (keyed["h"] == spans["h"]), "left").drop("_d", "h")
+    """docs with null texts made empty, and the column _spans."""
+    keyed = docs.withColumn("text", F.coalesce("text", F.lit(""))).withColumn("_h", F.xxhash64("text"))
+    spans = repeats(keyed.select("doc_id", F.col("_h").alias("h"), "text"), size, gram).groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_hash")).agg(F.collect_list(F.struct("a", "b")).alias("_spans"))
+    return keyed.join(spans, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_hash")), "left").drop("_d", "_h", "_hash")
 
 
 def removal_digest(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -225,8 +226,8 @@ def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 4 << 20):
-            texts = [_kept(*x)[1].decode(errors="ignore") for x in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True)]
+            texts = [_kept(*x)[1].decode(errors="ignore") for x in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
             given = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([given.get(name, batch.column(k)) for k, name in enumerate(batch.schema.names) if name != "spans"], [x for x in batch.schema.names if x != "spans"])
+            yield pa.RecordBatch.from_arrays([given.get(name, batch.column(k)) for k, name in enumerate(batch.schema.names) if name != "_spans"], [x for x in batch.schema.names if x != "_spans"])
 
     return _with_spans(docs, size, gram).mapInArrow(each, docs.schema)

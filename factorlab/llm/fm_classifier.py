@@ -21,8 +21,8 @@ from .common import batch_words, sliced
 
 #: Slots of hashed words, cells of each statistic, rank of the interactions.
 SLOTS, CELLS, RANK = 1 << 14, 24, 8
-#: Labelled rows that the model is fitted on at most; passes over them; rows in a step; step size; shrinkage.
-SAMPLE, PASSES, ROWS, STEP, SHRINK = 8000, 6, 64, 0.05, 1e-5
+#: Labelled rows that the model is fitted on at most; passes over them, and steps, at least; rows in a step; step size; shrinkage.
+SAMPLE, PASSES, STEPS, ROWS, STEP, SHRINK = 8000, 6, 600, 64, 0.05, 1e-5
 #: Rows whose crc32(doc_id) leaves this remainder are held out.
 FOLDS, HELD_OUT = 5, 0
 THRESHOLD = 0.3
@@ -113,7 +113,7 @@ def fit(x: Rows, labels: np.ndarray, seed: int = 5) -> Model:
     if len(np.unique(labels)) < 2:
         return Model(bias, linear, np.zeros_like(factors))
     past_linear, past_factors, past_bias = np.full(FEATURES, 1e-6, np.float32), np.full((FEATURES, RANK), 1e-6, np.float32), 1e-6
-    for _ in range(PASSES):
+    for _ in range(max(PASSES, -(-STEPS * ROWS // len(labels)))):
         order = draw.permutation(len(labels))
         for at in range(0, len(order), ROWS):
             own = order[at : at + ROWS]

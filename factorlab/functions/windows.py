@@ -60,7 +60,7 @@ class Session:
 
     def _fits(self, decay: float, longest: int) -> None:
         if longest * -math.log(decay) > RANGE:
-            raise ValueError(f"sessions of {longest} rows are too long for a decay of {decay:.3f} a row in one step; use smoothed_blocks")
+            raise ValueError(f"sessions of {longest} rows are too long for a decay of {decay:.3f} a row")
 
     def ewm_adjusted(self, c: Column | str, span: int, longest: int = LONGEST) -> Column:
         """Weighted mean with weights (1 - 2 / (span + 1))^age."""

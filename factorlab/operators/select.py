@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -52,12 +52,10 @@ def global_ranks(df: DataFrame, columns: list[str], row: list[str]) -> DataFrame
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the checkpoint folder that the session names, or else in one of its own."""
+    """Cuts lineage in the checkpoint folder that the session names, or where none is set, as in tests, in one of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(f"{tempfile.gettempdir()}/factorlab-{uuid.uuid4().hex}")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="factorlab-"))
     return df.checkpoint()
 
 

@@ -77,7 +77,7 @@ simple(
 _FAMILIES = {
     "ind_rsi_wilder": (indicators.rsi, sql.rsi((14, 7, 5, 3))),
     "ind_momentum_pct": (indicators.momentum, sql.momentum((10, 5, 3))),
-    "ind_volume_ratio": (lambda b: indicators.volume_ratio(b), sql.volume_ratio((15, 20, 30))),
+    "ind_volume_ratio": (indicators.volume_ratio, sql.volume_ratio((15, 20, 30))),
     "ind_macd": (indicators.macd, sql.macd()),
     "ind_price_ema": (indicators.price_ema, sql.price_ema((15, 20, 30))),
     "ind_stoch_k": (indicators.stochastic, sql.stochastic((14, 20, 30))),
@@ -205,7 +205,7 @@ simple(
     f"{with_('D', *_direction(W), _PRESS)}\nSELECT {KEYS}, {rounded({'alpha_factor_buy_momentum_rev': '-' + zscore('pb'), 'alpha_factor_sell_momentum_rev': '-' + zscore('ps')})} FROM press",
 )
 
-_FEATURES = [f"target_return_30", *_BEST_NAMES, "atr_norm", *factors.FACTORS]
+_FEATURES = ["target_return_30", *_BEST_NAMES, "atr_norm", *factors.FACTORS]
 _TABLE, _ = sql.joined("I", "close", _BEST)
 _FEAT1 = f"feat1 AS MATERIALIZED (SELECT *, {_targets(30)} AS target_return_30, {_mom(30)} AS m30, {_Z['z30']} AS z30, {_V['mv30']} AS mv30, {_RANGE['hi']} AS hi, {_RANGE['lo']} AS lo FROM all_t)"
 _FEAT2 = "feat2 AS MATERIALIZED (SELECT *, CASE WHEN strftime(ts, '%H:%M:%S') >= '09:30:00' THEN (close - (hi + lo) / 2) / nullif(hi - lo, 0) END AS r FROM feat1)"

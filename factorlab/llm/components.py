@@ -15,6 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
     checkpointed after each round; it ends when none changes. No edges give no rows.
     """
     both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a != b").distinct())
+    if not both.limit(1).count():
+        return both.select(F.col("a").alias("id"), F.col("b").alias("comp"))
     labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("_b")).select("id", F.least("id", "_b").alias("comp")))
     while True:
         near = both.join(labels.withColumnsRenamed({"id": "b"}), "b").groupBy(F.col("a").alias("id")).agg(F.min("comp").alias("_near"))

@@ -12,7 +12,7 @@ Shingles are 64-bit hashes, and their order by value is the global order. Docume
 
 A block's one side is stored in a trie of ordered sets. The trie is walked once for all sets of the other side: a vector of partial
 overlaps is carried from node to node, and a subtree is left when what remains of its sets can't reach the threshold any more.
-Nothing is emitted but links between different sets.
+Of a block's links only those are emitted that join components.
 """
 
 from __future__ import annotations
@@ -32,7 +32,7 @@ from .components import components
 WORDS = 5
 PLACES = stream(WORDS, 23) | U64(1)
 #: Sets and shingles that one side of a block has at most, about.
-SIDE, SIDE_SHINGLES = 256, 1 << 17
+SIDE, SIDE_SHINGLES = 512, 1 << 17
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -222,19 +222,32 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _block(table: pa.Table) -> pa.Table:
-    sides = ([], [])
-    for cls, side, raw in zip(*(table.column(c).to_pylist() for c in ("cls", "side", "shingles")), strict=True):
-        sides[side].append((cls, np.frombuffer(raw, dtype=U64)))
-    found = {}
-    for i, j, _ in block_links([x for _, x in sides[0]], [x for _, x in (sides[1] or sides[0])]):
-        a, b = sides[0][i][0], (sides[1] or sides[0])[j][0]
-        if a != b:
-            found[min(a, b), max(a, b)] = None
+    """Of a block's links those that join what wasn't joined: by its sets' components so far, or by links before it in the block."""
+    sides: tuple[list, list] = ([], [])
+    for row in zip(*(table.column(c).to_pylist() for c in ("cls", "comp", "side", "shingles")), strict=True):
+        sides[row[2]].append((row[0], row[1], np.frombuffer(row[3], dtype=U64)))
+    a, b = sides[0], sides[1] or sides[0]
+    parent: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := parent.get(x, x)) != x:
+            parent[x] = x = parent.get(up, up)
+        return x
+
+    found = []
+    for i, j, _ in block_links([x for _, _, x in a], [x for _, _, x in b]):
+        x, y = find(a[i][1]), find(b[j][1])
+        if x != y:
+            parent[x] = y
+            found.append((a[i][1], b[j][1]))
     return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
 
 
 def _hold(blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) of blocks, given as rows (block, side 0 or 1, cls). A block without a side 1 is held against itself."""
+    """Edges (a, b) between the components of blocks, given as rows (block, side 0 or 1, cls, comp): what their links join.
+
+    A block without a side 1 is held against itself.
+    """
     return blocks.join(sets, "cls").groupBy("block").applyInArrow(_block, "a long, b long")
 
 
@@ -268,23 +281,31 @@ def link_components(docs: DataFrame) -> DataFrame:
     stars = checkpointed(_chunks(pairs, ["centre"]).select("centre", "salt", "cls"))
     name = F.concat_ws(":", "centre", "salt").alias("block")
     blocks = stars.select(name, F.lit(1).alias("side"), "cls").union(stars.select("centre", "salt").distinct().select(name, F.lit(0).alias("side"), F.col("centre").alias("cls")))
-    first = components(_hold(blocks, sets))
+    first = components(_hold(blocks.withColumn("comp", F.col("cls")), sets))
 
     # the rest: groups that still are of several components
     placed = written(link.join(first.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "n", "shingle", F.coalesce("comp", "cls").alias("comp")))
     several = placed.groupBy("shingle").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("_many")).filter("_a != _b").select("shingle", "_many")
     rest = written(placed.join(several, "shingle"))
-    # a class belongs to the largest of its groups; sizes within 3/4 of each other are in the same band or in neighbouring ones
+    comps = rest.select("cls", "comp").distinct()
+    # a class is at home in the largest group that it meets in three steps, so that families of near copies have one home; sizes
+    # within 3/4 of each other are in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(4.0 / 3)) + 1e-9).cast("int")
-    homes = rest.groupBy("cls", "n").agg(F.max(F.struct("_many", "shingle")).alias("_home")).select("cls", "n", F.col("_home.shingle").alias("home"), band.alias("band"))
+    members = rest.select("cls", "n", "shingle")
+    homes = rest.groupBy("cls", "n").agg(F.max(F.struct("_many", "shingle")).alias("home"))
+    for _ in range(2):
+        best = members.join(homes.select("cls", "home"), "cls").groupBy("shingle").agg(F.max("home").alias("home"))
+        homes = members.join(best, "shingle").groupBy("cls", "n").agg(F.max("home").alias("home"))
+    homes = homes.select("cls", "n", F.col("home.shingle").alias("home"), band.alias("band"))
     homes = checkpointed(_chunks(homes, ["home", "band"]).select("cls", F.struct("band", "home", "salt").alias("chunk")))
     met = rest.select("shingle", "cls").join(homes, "cls").groupBy("shingle").agg(F.sort_array(F.collect_set("chunk")).alias("_met")).select("_met").distinct()
     met = met.select(F.posexplode("_met").alias("_at", "x"), "_met").select("x", F.explode(F.filter(F.expr("slice(_met, _at + 1, size(_met))"), lambda y: y["band"] <= F.col("x.band") + 1)).alias("y")).distinct()
     met = checkpointed(met.withColumn("block", F.monotonically_increasing_id()))
     sides = met.select("block", F.lit(0).alias("side"), F.col("x").alias("chunk")).union(met.filter("x != y").select("block", F.lit(1).alias("side"), F.col("y").alias("chunk")))
-    second = _hold(sides.join(homes, "chunk").select(F.col("block").cast("string").alias("block"), "side", "cls"), sets)
-    links = first.select(F.col("id").alias("a"), F.col("comp").alias("b")).union(second)
-    return _named(own, components(links))
+    second = _hold(sides.join(homes.join(comps, "cls"), "chunk").select(F.col("block").cast("string").alias("block"), "side", "cls", "comp"), sets)
+    joined = components(second).select(F.col("comp").alias("_to"), F.col("id").alias("comp"))
+    ends = link.select("cls").distinct().join(first.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
+    return _named(own, ends.join(joined, "comp", "left").select(F.col("cls").alias("id"), F.coalesce("_to", "comp").alias("comp")))
 
 
 def _named(own: DataFrame, found: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from .common import sliced
 
 SPACE_MARK = "▁"
 #: Symbols in the widest unit that the array of agendas takes; units kept in a worker's memory before it starts anew.
-WIDTHS, KEPT = (6, 8, 10, 12, 16, 32), 1_500_000
+WIDTHS, KEPT = (6, 8, 10, 12, 16, 32), 500_000
 NONE = np.iinfo(np.int32).max
 
 
@@ -63,7 +63,6 @@ class Codec:
         self.decimal = [str(i) for i in range(n)]
         self.lone = lone
         self.known: dict[str, tuple[int, ...]] = {}
-        self.text: dict[str, str] = {}
 
     def _find(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Where the pairs of symbols are in the table, and whether they are."""
@@ -162,7 +161,6 @@ class Codec:
         """Encodes units that aren't known yet and holds them against the library."""
         if len(self.known) > KEPT:
             self.known.clear()
-            self.text.clear()
         fresh = [u for u in units if u not in self.known]
         if not fresh:
             return
@@ -184,7 +182,6 @@ class Codec:
             if tuple(ids) != found[u]:
                 raise AssertionError(f"{u!r} is {found[u]} here and {ids} by the library")
         self.known.update(found)
-        self.text.update((u, ",".join(map(self.decimal.__getitem__, ids))) for u, ids in found.items())
 
     def ids(self, text: str | None) -> list[int]:
         units = self.units(text)
@@ -220,7 +217,7 @@ def encode_decode(docs: DataFrame, model: str, with_ids: bool = False) -> DataFr
             cut = [own.units(x) for x in batch.column("text").to_pylist()]
             own.learn(set(chain.from_iterable(cut)))
             ids = [list(chain.from_iterable(map(own.known.__getitem__, u))) for u in cut]
-            joined = [",".join(map(own.text.__getitem__, u)) for u in cut]
+            joined = [",".join(map(own.decimal.__getitem__, x)) for x in ids]
             decoded = own.library.decode(ids, num_threads=1) if ids else []
             columns = [batch.column("doc_id"), pa.array(list(map(len, ids)), pa.int64()), pa.array(list(map(sha, joined))), pa.array(list(map(sha, decoded)))]
             if with_ids:

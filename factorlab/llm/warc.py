@@ -1,7 +1,7 @@
 """WARC archives of pages, and an external merge of their capture indexes.
 
 Writing: one record for each page, by Spark's text writer, so that archives land in any store that Spark writes to and a lost task is
-done again without leaving parts. Records of equal payloads of REVISIT bytes or more are revisits of the one with the largest page_id.
+done again without leaving parts; archives are compressed, and offsets are those of the bytes before. Records of equal payloads of REVISIT bytes or more are revisits of the one with the largest page_id.
 
 Reading: each archive is read whole and parsed by the lengths in its headers. It gives a run of captures, ordered by URL key and
 timestamp. Runs are cut at the same range boundaries, each range gets its piece of every run, and there a loser tree merges the
@@ -10,6 +10,7 @@ pieces; so all ranges, one after another, are the captures in order, and a captu
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 from collections.abc import Iterator
@@ -21,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed, shared_dir
+from .common import checkpointed, shared_dir, sliced
 
 #: Payloads from so many bytes on are stored once.
 REVISIT = 1000
@@ -61,7 +62,7 @@ def url_key(url: str | None) -> str:
 
 
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, "html", 2 << 20):
         out = []
         for page_id, url, html, digest, refers_to in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to")), strict=True):
             payload = html or ""
@@ -95,7 +96,7 @@ def write_archives(pages: DataFrame, path: str) -> None:
     shared = pages.filter(F.col("size") >= REVISIT).groupBy("digest").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last")).filter("first > last")
     revisits = pages.filter(F.col("size") >= REVISIT).select("page_id", "digest").join(shared, "digest").filter("page_id < first").select(F.col("page_id").alias("_p"), F.col("first").alias("refers_to"))
     records = pages.join(revisits, F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_records, "value string")
-    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).text(path)
+    records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 
 def parse(raw: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
@@ -133,8 +134,8 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Each archive's captures, in order."""
     for batch in batches:
         for path, raw in zip(batch.column("path").to_pylist(), batch.column("content"), strict=True):
-            name = path.rsplit("/", 1)[-1]
-            run = sorted((_capture(name, *x) for x in parse(raw.as_py())), key=_order)
+            name, content = path.rsplit("/", 1)[-1], raw.as_py()
+            run = sorted((_capture(name, *x) for x in parse(gzip.decompress(content) if name.endswith(".gz") else content)), key=_order)
             if run:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*run, strict=True), _CAPTURE.types, strict=True)], schema=_CAPTURE)
 

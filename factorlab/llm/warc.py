@@ -90,12 +90,16 @@ def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archives(pages: DataFrame, path: str) -> None:
     """Writes the WARC records of pages (page_id, url, html; other columns are not read) to the folder path. Null html is empty.
 
-    Records are named by page_id, so those of equal ids share a name; a null id gives an empty name and the first date.
+    Records are named by page_id, so those of equal ids share a name; a null id gives an empty name and the first date. A row is a
+    revisit by its own payload and id, however often the id occurs: it refers to the record of that name with its own digest. Rows
+    of the largest id and rows without one are responses.
     """
     pages = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"), F.octet_length(F.coalesce("html", F.lit(""))).alias("size"))
-    shared = pages.filter(F.col("size") >= REVISIT).groupBy("digest").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last")).filter("first > last")
-    revisits = pages.filter(F.col("size") >= REVISIT).select("page_id", "digest").join(shared, "digest").filter("page_id < first").select(F.col("page_id").alias("_p"), F.col("first").alias("refers_to"))
-    records = pages.join(revisits, F.col("page_id") == F.col("_p"), "left").select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_records, "value string")
+    large = pages.filter(F.col("size") >= REVISIT).select("page_id", "digest")
+    shared = large.groupBy("digest").agg(F.max("page_id").alias("first"), F.min("page_id").alias("last")).filter("first > last")
+    # one row for each id and digest: a join on both neither mixes up the payloads of an id nor repeats rows, and a digest that very many pages have is still dealt out
+    revisits = large.distinct().join(shared, "digest").filter("page_id < first").select("page_id", "digest", F.col("first").alias("refers_to"))
+    records = pages.join(revisits, ["page_id", "digest"], "left").select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_records, "value string")
     records.write.option("lineSep", END).option("maxRecordsPerFile", RECORDS).option("compression", "gzip").text(path)
 
 

@@ -353,6 +353,20 @@ def test_warc(spark):
     assert warc.archive_pages(df.limit(0)).count() == 0
 
 
+def test_warc_decides_by_row(spark):
+    a, b, c = "a" * 1000, "b" * 1000, "c" * 1000
+    table = [(5, a), (5, a), (5, b), (9, a), (7, "small"), (7, "small"), (8, "small"), (5, "small"), (None, c), (None, c), (3, c), (4, c), (4, c), (4, b)]
+    df = spark.createDataFrame([(k, "http://b.org/x", h) for k, h in table], "page_id long, url string, html string")
+    want = Counter()
+    for k, h in table:
+        last = max(j for j, x in table if x == h and j is not None)
+        revisit = len(h) >= 1000 and k is not None and k < last
+        want[k, hashlib.sha1(h.encode()).hexdigest(), "revisit" if revisit else "response", last if revisit else None] += 1
+    got = warc.archive_pages(df).collect()
+    assert Counter((r["page_id"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == want
+    assert {r["payload_digest"] for r in got if r["record_type"] == "response"} == {hashlib.sha1(h.encode()).hexdigest() for _, h in table}
+
+
 def test_loser_tree():
     r = random.Random(5)
     for _ in range(200):

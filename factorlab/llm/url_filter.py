@@ -3,6 +3,9 @@
 Host labels and path parts are often several words written as one. They are split by a unigram model: of all ways to split, a
 Viterbi search takes the most probable. The words then score by multinomial naive Bayes, trained on the URLs whose host holds a seed
 word as one of its words (block) against all others (allow).
+
+Both models are tables of all their words and are joined, never gathered: runs of letters with the words of the model that they hold,
+rows with the runs, features with their counts. Keys of more than 1/HOT of a join's rows are broadcast, which are fewer than HOT.
 """
 
 from __future__ import annotations
@@ -16,18 +19,19 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, written
 
 #: (verdict, host, path): fits the host and all its subdomains where the URL's path starts with the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 #: Words that mark training hosts as unwanted: gambling, pills, loans, adult pages, advertisement trackers.
 SEEDS = ("ads", "adult", "bets", "casino", "cheap", "gambling", "loans", "pills", "poker", "porn", "replica", "track", "viagra", "win", "xxx")
-#: Words of the unigram model and of the Bayes model that are broadcast, the most frequent ones; characters in a word that Viterbi tries.
-VOCABULARY, LONGEST = 50_000, 24
-#: Occurrences that a seed word has in the unigram model at least.
-SEED_COUNT = 50
+#: Characters in a word that Viterbi tries, and that a word of the unigram model has at most.
+LONGEST = 24
+#: Occurrences that a seed word has in the unigram model at least: one in SEED_PART of all, or SEED_COUNT where titles are few.
+SEED_PART, SEED_COUNT = 5000, 50
+#: A key with more than one in HOT of a join's rows is broadcast.
+HOT = 1000
 PARTS = re.compile(r"[a-z]+")
 
 
@@ -54,14 +58,17 @@ def fitting(rules: tuple[tuple[str, str, str], ...], host: Column, path: Column)
 
 
 class Splitter:
-    """Splits a run of letters into words by the unigram model: the most probable way, by Viterbi."""
+    """Splits a run of letters into words by the unigram model: the most probable way, by Viterbi.
+
+    Counts can be those of the words that the runs hold, with the total and the longest word of the whole model given.
+    """
 
-    def __init__(self, counts: dict[str, int]) -> None:
-        total = sum(counts.values()) + 1
+    def __init__(self, counts: dict[str, int], total: int | None = None, longest: int | None = None) -> None:
+        total = (sum(counts.values()) if total is None else total) + 1
         self.cost = {w: -math.log(n / total) for w, n in counts.items()}
         # an unknown word is less probable than any known one, and ever less with each letter
         self.base, self.letter = math.log(total) + 1, math.log(26)
-        self.longest = max([1, *map(len, self.cost)])
+        self.longest = max([1, *map(len, self.cost)]) if longest is None else longest
         self.split = lru_cache(1 << 16)(self._split)
 
     def _split(self, run: str) -> tuple[str, ...]:
@@ -83,33 +90,59 @@ class Splitter:
         return [w for run in PARTS.findall(text) for w in self.split(run)]
 
 
-def unigrams(pages: DataFrame) -> dict[str, int]:
-    """Counts of the VOCABULARY most frequent words of page titles and of the seed words: a model of a fixed largest size."""
+def unigrams(pages: DataFrame) -> DataFrame:
+    """word, n: counts of all words of page titles and of the seed words."""
     title = F.lower(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title>", 1))
     words = pages.select(F.explode(F.regexp_extract_all(title, F.lit(r"\p{L}+"), F.lit(0))).alias("word"))
     words = words.filter(F.col("word").rlike(f"^[a-z]{{2,{LONGEST}}}$"))
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("n").desc(), "word").limit(VOCABULARY)
-    found = {r["word"]: r["n"] for r in counts.collect()}
-    return found | {w: max(SEED_COUNT, found.get(w, 0)) for w in SEEDS}
+    counts = checkpointed(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    seeds = counts.sparkSession.createDataFrame([(w, max(SEED_COUNT, total // SEED_PART)) for w in SEEDS], "word string, n long")
+    return checkpointed(counts.union(seeds).groupBy("word").agg(F.max("n").alias("n")))
 
 
-TOKENS = T.StructType([T.StructField(c, T.StringType()) for c in ("host", "path")] + [T.StructField("host_words", T.ArrayType(T.StringType())), T.StructField("path_words", T.ArrayType(T.StringType()))])
+def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """left joined with right, which has each key of left once, with `uses`, the rows that left has of it (dropped).
 
-
-def segmented(urls: DataFrame, counts: dict[str, int]) -> DataFrame:
-    """Adds host_words (the host without its last label) and path_words to rows of host and path."""
-    shared = urls.sparkSession.sparkContext.broadcast(counts)
-    schema = T.StructType([*urls.schema.fields, *TOKENS.fields[2:]])
+    Fewer than HOT keys can have more than 1/HOT of the rows; those are broadcast, so that no task gets more than that of a key.
+    """
+    total = right.agg(F.sum("uses")).first()[0] or 0
+    often = F.col("uses") * HOT > total
+    hot, others = F.broadcast(right.filter(often).drop("uses")), right.filter(~often).drop("uses")
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(others, key))
+
+
+def splits(runs: DataFrame, model: DataFrame) -> DataFrame:
+    """run, words, uses from the distinct runs of letters (run, uses): each run's own part of the model is joined to it."""
+    windows = runs.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substring(F.col("run"), i, F.lit(LONGEST)))).alias("_w")).filter(F.length("_w") > 1)
+    held = windows.select("run", F.explode(F.transform(F.sequence(F.lit(2), F.length("_w")), lambda n: F.substring(F.col("_w"), F.lit(1), n))).alias("word"))
+    uses = held.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
+    known = matched(held, checkpointed(uses.join(model, "word", "left")), "word").filter("n is not null")
+    known = known.groupBy("run").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    whole = model.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest")).first()
+    total, longest = whole["total"], whole["longest"]
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(shared.value)
         for batch in batches:
-            host = [splitter.words(x.rpartition(".")[0]) for x in batch.column("host").to_pylist()]
-            path = [splitter.words(x.lower()) for x in batch.column("path").to_pylist()]
-            kind = pa.list_(pa.string())
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(host, kind), pa.array(path, kind)], [*batch.schema.names, "host_words", "path_words"])
+            parts = zip(batch.column("run").to_pylist(), batch.column("known").to_pylist(), strict=True)
+            words = [Splitter({x["word"]: x["n"] for x in known or []}, total, longest)._split(run) for run, known in parts]
+            yield pa.RecordBatch.from_arrays([batch.column("run"), pa.array(words, pa.list_(pa.string())), batch.column("uses")], ["run", "words", "uses"])
 
-    return urls.mapInArrow(each, schema)
+    return runs.join(known, "run", "left").mapInArrow(each, "run string, words array<string>, uses long")
+
+
+def featured(rows: DataFrame, model: DataFrame) -> DataFrame:
+    """Adds features (the words of host, but for its last label, and path, each with where it stands) and unwanted (whether a seed word is in the host) to rows of _row, host and path."""
+
+    def runs(kind: str, text: Column) -> Column:
+        return F.transform(F.regexp_extract_all(text, F.lit(PARTS.pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("run")))
+
+    held = written(rows.select("_row", F.inline(F.concat(runs("h:", F.regexp_extract("host", r"(?s)^(.*)\.", 1)), runs("p:", F.lower("path"))))))
+    own = matched(held, checkpointed(splits(checkpointed(held.groupBy("run").agg(F.count(F.lit(1)).alias("uses"))), model)), "run")
+    unwanted = F.max((F.col("kind") == "h:") & F.arrays_overlap("words", F.array(*[F.lit(w) for w in SEEDS])))
+    own = own.groupBy("_row").agg(F.flatten(F.collect_list(F.transform("words", lambda w: F.concat("kind", w)))).alias("_features"), unwanted.alias("_unwanted"))
+    out = rows.join(own, "_row", "left").withColumn("features", F.coalesce("_features", F.array().cast("array<string>")))
+    return out.withColumn("unwanted", F.coalesce("_unwanted", F.lit(False))).drop("_features", "_unwanted")
 
 
 def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
@@ -120,32 +153,30 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     """
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     rule, verdict = fitting(rules, F.col("host"), F.col("path"))
-    table = checkpointed(segmented(rows.withColumns({"rule": rule, "given": verdict}), unigrams(pages)))
-    # features keep apart where a word stands
-    features = F.concat(F.transform("host_words", lambda w: F.concat(F.lit("h:"), w)), F.transform("path_words", lambda w: F.concat(F.lit("p:"), w)))
-    unwanted = F.arrays_overlap("host_words", F.array(*[F.lit(w) for w in SEEDS]))
-    table = table.select("page_id", "host", "path", "rule", "given", F.coalesce(unwanted, F.lit(False)).alias("unwanted"), features.alias("features"))
-    words = table.select("unwanted", F.explode("features").alias("word"))
-    counts = words.groupBy("word").agg(F.count_if("unwanted").alias("block"), F.count_if(~F.col("unwanted")).alias("allow"))
+    # rows are named where they are kept, so that equal ids and URLs stay apart
+    rows = written(rows.withColumns({"rule": rule, "given": verdict, "_row": F.monotonically_increasing_id()}))
+    table = written(featured(rows, unigrams(pages)))
+    words = table.select("_row", "unwanted", F.explode("features").alias("word"))
+    counts = words.groupBy("word").agg(F.count_if("unwanted").alias("block"), F.count_if(~F.col("unwanted")).alias("allow"), F.count(F.lit(1)).alias("uses"))
+    counts = checkpointed(counts)
     sums = counts.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("b"), F.coalesce(F.sum("allow"), F.lit(0)).alias("a"), F.count(F.lit(1)).alias("v")).first()
     seen = table.agg(F.count_if("unwanted").alias("b"), F.count_if(~F.col("unwanted")).alias("a")).first()
-    # of the Bayes model, too, the most frequent words go to all tasks; by add-one smoothing a rare one says next to nothing
-    top = counts.orderBy((F.col("block") + F.col("allow")).desc(), "word").limit(VOCABULARY).collect()
-    weight = {r["word"]: math.log((r["block"] + 1) / (sums["b"] + sums["v"])) - math.log((r["allow"] + 1) / (sums["a"] + sums["v"])) for r in top}
-    prior = math.log((seen["b"] + 1) / (seen["a"] + 1))
-    none = seen["b"] == 0
-    return scored(table, weight, prior, none)
+    own = matched(words.drop("unwanted"), counts, "word").groupBy("_row").agg(F.collect_list(F.struct("word", "block", "allow")).alias("found"))
+    return scored(table.join(own, "_row", "left"), (sums["b"], sums["a"], sums["v"]), math.log((seen["b"] + 1) / (seen["a"] + 1)), seen["b"] == 0)
+
 
+def scored(table: DataFrame, sums: tuple[int, int, int], prior: float, none: bool) -> DataFrame:
+    """Log odds from the counts of the rows' words (`found`, one for each time that a word occurs), and verdicts; sums are all occurrences, blocked and allowed, and the number of words."""
+    b, a, v = sums
 
-def scored(table: DataFrame, weight: dict[str, float], prior: float, none: bool) -> DataFrame:
-    """Log odds from the words' weights, and verdicts."""
-    shared = table.sparkSession.sparkContext.broadcast(weight)
+    def odds(found: list[dict] | None) -> float:
+        times = Counter((x["word"], x["block"], x["allow"]) for x in found or [])
+        return prior + sum((math.log((block + 1) / (b + v)) - math.log((allow + 1) / (a + v))) * n for (_, block, allow), n in sorted(times.items()))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
         for batch in batches:
-            odds = [prior + sum(own.get(w, 0.0) * n for w, n in sorted(Counter(x).items())) for x in batch.column("features").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule", "given")), pa.array(odds, pa.float64())], ["page_id", "host", "path", "rule", "given", "odds"])
+            got = pa.array([odds(x) for x in batch.column("found").to_pylist()], pa.float64())
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("page_id", "host", "path", "rule", "given")), got], ["page_id", "host", "path", "rule", "given", "odds"])
 
     out = table.mapInArrow(each, "page_id long, host string, path string, rule string, given string, odds double")
     method = F.when(F.lit(none) | (F.col("odds") <= 0), "allow").otherwise("block")

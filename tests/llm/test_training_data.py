@@ -14,7 +14,7 @@ import public_tokenizers
 import pytest
 import sentencepiece
 
-from factorlab.llm import fm_classifier, induced_sorting, media_ts, token_counts, warc
+from factorlab.llm import fm_classifier, induced_sorting, media_ts, token_counts, url_filter, warc
 from factorlab.llm.components import components
 from factorlab.llm.jaccard_join import block_links, link_components, trie
 from factorlab.llm.mixing import apportion, mix_sources
@@ -275,6 +275,35 @@ def test_url_filter(spark):
     assert judge_urls(df.limit(0)).count() == 0
 
 
+def test_url_models_are_whole(spark, monkeypatch):
+    """Splits and scores are those of models of all words, and seeds grow with the titles; small limits would show a cut of either model."""
+    monkeypatch.setattr(url_filter, "VOCABULARY", 5, raising=False)
+    monkeypatch.setattr(url_filter, "SEED_COUNT", 1)
+    monkeypatch.setattr(url_filter, "SEED_PART", 40, raising=False)
+    monkeypatch.setattr(url_filter, "HOT", 20, raising=False)
+    r = random.Random(6)
+    pool = ["".join(r.choice("abcdeht") for _ in range(r.randrange(2, 7))) for _ in range(40)]
+    page = lambda: "".join(r.choices(pool, k=r.randrange(1, 4)))
+    urls = [None, "http://", "x", "http://win.org/", *(f"http://{r.choice(['', 'win.', 'casino'])}{page()}.info/{page()}/{page()}?{page()}" for _ in range(120))]
+    table = [(k % 50, u, f"<title>{' '.join(r.choices(pool, k=6))}</title>") for k, u in enumerate(urls * 2)]
+    titles = Counter(w for _, _, h in table for w in re.findall("[a-z]+", h[7:-8]))
+    least = max(1, titles.total() // 40)
+    s = Splitter(titles | Counter({w: max(least, titles[w]) for w in url_filter.SEEDS}))
+    rows = []
+    for k, u, _ in table:
+        host, _, path = u.partition("://")[2].partition("?")[0].partition("/") if u and "://" in u else ("", "", "")
+        own = s.words(host.rpartition(".")[0])
+        rows.append((k, host, bool(set(own) & set(url_filter.SEEDS)), Counter([f"h:{w}" for w in own] + [f"p:{w}" for w in s.words(path)])))
+    counts = {x: sum((f for *_, unwanted, f in rows if unwanted == x), Counter()) for x in (True, False)}
+    v = len(counts[True] | counts[False])
+    weight = {w: np.log((counts[True][w] + 1) / (counts[True].total() + v)) - np.log((counts[False][w] + 1) / (counts[False].total() + v)) for w in counts[True] | counts[False]}
+    blocked = sum(x for *_, x, _ in rows)
+    assert blocked and v > 50
+    want = sorted((k, host, round(float(np.log((blocked + 1) / (len(rows) - blocked + 1)) + sum(weight[w] * n for w, n in f.items())), 6)) for k, host, _, f in rows)
+    df = spark.createDataFrame(table, "page_id long, url string, html string").repartition(3)
+    assert sorted((x["page_id"], x["host"], round(x["score"], 6)) for x in judge_urls(df, ()).collect()) == want
+
+
 def test_viterbi_is_the_most_probable_split():
     s = Splitter({"cheap": 50, "pills": 40, "che": 3, "ap": 5, "a": 90, "pill": 20, "s": 10})
     for text in ("cheappills", "apillscheap", "xyzcheap", "a"):

@@ -131,10 +131,10 @@ def block_links(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int,
 
 # -- sets and prefixes
 
-FACTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType()), T.StructField("df", T.LongType())])
+FACTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType()), T.StructField("df", T.LongType())])
 _FACTS = pa.schema([(f.name, pa.int64()) for f in FACTS])
-PACKS = "part int, doc_id long, cls long, n long, pack binary"
-_PACKS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pack", pa.binary())])
+PACKS = "part int, doc_id long, h long, cls long, n long, pack binary"
+_PACKS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pack", pa.binary())])
 
 
 def _prefixes(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,9 +143,9 @@ def _prefixes(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         sets = [shingles(w) for w in batch_words(batch.column("text").to_pylist())]
         ids, sizes = np.array([set_id(x) for x in sets], dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64)
         n = len(sets)
-        doc_ids = batch.column("doc_id")
+        doc_ids, h = batch.column("doc_id"), batch.column("h")
         nulls = pa.nulls(n, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array((ids % parts).astype(np.int32)), doc_ids, pa.array(ids), pa.array(sizes), nulls], schema=_PACKS)
+        yield pa.RecordBatch.from_arrays([pa.array((ids % parts).astype(np.int32)), doc_ids, h, pa.array(ids), pa.array(sizes), nulls], schema=_PACKS)
         first = np.unique(ids, return_index=True)[1]
         heads = [sets[k][: len(sets[k]) - needed(len(sets[k])) + spare(len(sets[k]))] for k in first]
         shingle = np.concatenate(heads) if heads else np.zeros(0, U64)
@@ -156,7 +156,7 @@ def _prefixes(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Reco
         groups = [g for g in np.split(order, cuts) if len(g)]
         packs = [b"".join([len(g).to_bytes(8, "little"), shingle[g].tobytes(), ids[own[g]].tobytes(), sizes[own[g]].astype(np.int32).tobytes()]) for g in groups]
         k = len(groups)
-        yield pa.RecordBatch.from_arrays([pa.array([int(part[g[0]]) for g in groups], pa.int32()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.array(packs, pa.binary())], schema=_PACKS)
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[g[0]]) for g in groups], pa.int32()), *[pa.nulls(k, pa.int64())] * 4, pa.array(packs, pa.binary())], schema=_PACKS)
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,7 +166,7 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         docs = batch.filter(batch.column("pack").is_null())
         if docs.num_rows:
             none = pa.nulls(docs.num_rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("cls"), docs.column("n"), none, none], schema=_FACTS)
+            yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("h"), docs.column("cls"), docs.column("n"), none, none], schema=_FACTS)
         for raw in batch.column("pack").to_pylist():
             if raw is not None:
                 k = int.from_bytes(raw[:8], "little")
@@ -195,13 +195,13 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for k in range(0, int(keep.sum()), 1 << 16):
         cut = slice(k, k + (1 << 16))
         rows = int(len(s[keep][cut]))
-        yield pa.RecordBatch.from_arrays([pa.nulls(rows, pa.int64()), pa.array(c[keep][cut]), pa.array(n[keep][cut].astype(np.int64)), pa.array(s[keep][cut]), pa.array(df[keep][cut].astype(np.int64))], schema=_FACTS)
+        yield pa.RecordBatch.from_arrays([*[pa.nulls(rows, pa.int64())] * 2, pa.array(c[keep][cut]), pa.array(n[keep][cut].astype(np.int64)), pa.array(s[keep][cut]), pa.array(df[keep][cut].astype(np.int64))], schema=_FACTS)
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: rows of documents (doc_id, cls, n) and rows of meetings (cls, n, shingle, df)."""
+    """One pass over the texts: rows of documents (doc_id, the hash h of the text, cls, n) and rows of meetings (cls, n, shingle, df)."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    packed = docs.select("doc_id", "text").mapInArrow(partial(_prefixes, parts), PACKS)
+    packed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(partial(_prefixes, parts), PACKS)
     return packed.repartition(parts, "part").mapInArrow(_meetings, FACTS)
 
 
@@ -211,14 +211,16 @@ def _links_at(n: Column) -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and its ordered shingles, for the documents (doc_id) in wanted."""
+    """cls and its ordered shingles, for the documents (doc_id, h) in wanted; a doc_id can be null."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = [shingles(w) for w in batch_words(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "shingles"])
 
-    return docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").mapInArrow(each, "cls long, shingles binary").dropDuplicates(["cls"])
+    wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    theirs = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
+    return theirs.mapInArrow(each, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
 def _block(table: pa.Table) -> pa.Table:
@@ -262,17 +264,18 @@ def link_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs (doc_id, text; other columns are not read).
 
     component_id is the smallest doc_id that is reachable by links, the row's own included. Null texts and those without words have no
-    shingles and are linked with nothing. Equal texts, and texts of equal sets, are linked. An empty table gives no rows.
+    shingles and are linked with nothing. Equal texts, and texts of equal sets, are linked. Rows with null doc_ids link like all others; component_id is null where no
+    row of the component has an id. An empty table gives no rows.
     """
     table = written(facts(docs))
-    own, meetings = table.filter("shingle is null").select("doc_id", "cls", "n"), table.filter("shingle is not null")
+    own, meetings = table.filter("shingle is null").select("doc_id", "h", "cls", "n"), table.filter("shingle is not null")
 
     # classes that share enough, and their link shingles
     m = _links_at(F.col("n"))
     by_class = meetings.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_all")).withColumn("c", F.size("_all")).filter(F.col("c") >= m)
     link = written(by_class.select("cls", "n", "c", F.explode(F.slice("_all", F.lit(1), (F.col("c") - m + 1).cast("int"))).alias("_one")).select("cls", "n", "c", "_one.shingle"))
-    classes = own.join(link.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
-    sets = written(_sets(docs, classes.select("doc_id")))
+    classes = own.join(link.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("_one"))
+    sets = written(_sets(docs, classes.select("_one.*")))
 
     # stars: the centre has the largest share of its shingles in common with others
     share = F.col("c") / F.col("n")

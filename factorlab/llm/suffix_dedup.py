@@ -142,7 +142,8 @@ def _sort(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     """One shard: (doc_id, h, first, last byte exclusive) of what its repeated windows cover."""
     ids, hashes, places, parts = [], [], [], []
     for batch in batches:
-        for column, name in ((ids, "doc_id"), (hashes, "h"), (places, "a")):
+        ids.append(batch.column("doc_id"))  # can have nulls
+        for column, name in ((hashes, "h"), (places, "a")):
             column.append(batch.column(name).to_numpy())
         parts.extend(batch.column("bytes").to_pylist())
     if not parts:
@@ -157,7 +158,7 @@ def _sort(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
     own = np.searchsorted(begins, first, side="right") - 1
     at = np.concatenate(places)[own] - begins[own]
-    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)[own]), pa.array(np.concatenate(hashes)[own]), pa.array(first + at), pa.array(last + at + size - 1)], ["doc_id", "h", "a", "b"])
+    yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids).take(pa.array(own)), pa.array(np.concatenate(hashes)[own]), pa.array(first + at), pa.array(last + at + size - 1)], ["doc_id", "h", "a", "b"])
 
 
 def repeats(texts: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
@@ -172,8 +173,9 @@ def repeats(texts: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     rest = written(kinds.join(several, "key").select("key", "one.*"))
     volume = rest.agg(F.sum(F.col("n") + size)).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // SHARD_BYTES))
-    wanted = rest.groupBy("doc_id", "h").agg(F.collect_list(F.struct("key", "a", "n")).alias("wanted"))
-    dealt = texts.join(wanted, ["doc_id", "h"]).mapInArrow(partial(_fetch, size), "doc_id long, h long, key long, a long, bytes binary").repartition(shards, "key")
+    wanted = rest.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "a", "n")).alias("wanted"))
+    theirs = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).drop("_d", "_h")
+    dealt = theirs.mapInArrow(partial(_fetch, size), "doc_id long, h long, key long, a long, bytes binary").repartition(shards, "key")
     sorted_out = dealt.mapInArrow(partial(_sort, size), "doc_id long, h long, a long, b long")
     return whole.union(sorted_out)
 
@@ -216,7 +218,7 @@ def _with_spans(docs: DataFrame, size: int, gram: int) -> DataFrame:
 def removal_digest(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept_sha256, one row for each row of docs (doc_id, text; other columns are not read).
 
-    Null and empty texts have no bytes. Rows that repeat a text of `size` bytes or more lose all of it. An empty table gives no rows.
+    Null and empty texts have no bytes. Rows with null doc_ids, and rows of one doc_id, are documents like all others. Rows that repeat a text of `size` bytes or more lose all of it. An empty table gives no rows.
     """
     return _with_spans(docs.select("doc_id", "text"), size, gram).mapInArrow(_digest, DIGEST)
 

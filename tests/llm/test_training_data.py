@@ -156,6 +156,16 @@ def test_suffix_dedup(docs, none, size, gram):
     assert removal_digest(none, size, gram).count() == 0
 
 
+def test_suffix_dedup_of_null_ids(spark):
+    r = random.Random(12)
+    passage, whole = prose(r, 90), prose(r, 150)
+    table = [(None, f"{prose(r, 60)} {passage} {prose(r, 60)}"), (1, f"{prose(r, 60)} {passage} {prose(r, 60)}"), (None, f"{prose(r, 80)} {whole}"), (None, whole), (2, whole), (3, f"{whole} {prose(r, 40)}"), (3, f"{prose(r, 30)} {passage}"), (None, None)]
+    texts = [(t or "").encode() for _, t in table]
+    want = [(k, len(t), int(mask.sum())) for (k, _), t, mask in zip(table, texts, covered(texts, 400), strict=True)]
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"]) for x in removal_digest(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()]
+    assert Counter(got) == Counter(want)
+
+
 @pytest.mark.parametrize("limits", [{}, {"STEP": 3, "QUEUED": 5}, {"IN_MEMORY": 2, "STEP": 7, "QUEUED": 9, "RESIDENT": 10}])
 def test_induced_sorting(monkeypatch, limits):
     """Small limits put queues and arrays on disk and make names recurse."""
@@ -233,6 +243,15 @@ def test_jaccard_join(spark, docs, none):
     assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in link_components(df).collect()} == brute_components(family)
 
 
+def test_jaccard_join_of_null_ids(spark):
+    """A text without an id links two that don't link; an id can have two texts."""
+    w = prose(random.Random(13), 300).split()
+    table = [(1, w[:250]), (None, w), (2, w[50:]), (None, w[::-1]), (None, w[::-1][:280]), (7, w[::2]), (7, w[::3])]
+    df = spark.createDataFrame([(k, " ".join(x)) for k, x in table], "doc_id long, text string").repartition(3)
+    want = [(1, 246, 1), (None, 296, 1), (2, 246, 1), (None, 296, None), (None, 276, None), (7, 146, 7), (7, 96, 7)]
+    assert Counter(tuple(x) for x in link_components(df).select("doc_id", "n_shingles", "component_id").collect()) == Counter(want)
+
+
 def test_trie_of_a_block():
     r = np.random.default_rng(0)
     pool = np.sort(r.integers(0, 1 << 60, 60).astype(np.uint64))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -9,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Characters that separate words; every other character belongs to a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,11 +24,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or, where it is unset and the master is local, one of our own."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     if spark.sparkContext.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="factorlab-checkpoint-"))
     return spark.sparkContext.getCheckpointDir().rstrip("/")
 
@@ -39,10 +43,55 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def written(df: DataFrame) -> DataFrame:
     """For large tables that are read more than once: a compressed Parquet table in the shared folder."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/factorlab-{uuid.uuid4().hex}"
+    return _parquet(df, f"{shared_dir(df.sparkSession)}/factorlab-{uuid.uuid4().hex}")
+
+
+def _parquet(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Scratch:
+    """Parquet tables in the shared folder that are deleted when the work that reads them is done, or when one of them is done with."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.base, self.n = spark, f"{shared_dir(spark)}/factorlab-{uuid.uuid4().hex}", 0
+        self.paths: list[tuple[DataFrame, str]] = []
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self._delete(self.base)
+
+    def written(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.base}/{self.n}"
+        table = _parquet(df, path)
+        self.paths.append((table, path))
+        return table
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables that nothing reads any more; what was read from them must have been written."""
+        for table, path in self.paths:
+            if any(table is x for x in tables):
+                self._delete(path)
+
+    def _delete(self, path: str) -> None:
+        jvm = self.spark._jvm
+        place = jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def matched(left: DataFrame, right: DataFrame, key: str, most: int = 1000) -> DataFrame:
+    """left joined with right, which has each key of left once, with `uses`, the rows that left has of it (dropped).
+
+    Fewer than `most` keys can have more than one in `most` of the rows; those are broadcast, so that no task gets more than that of a key.
+    """
+    total = right.agg(F.sum("uses")).first()[0] or 0
+    often = F.col("uses") * most > total
+    hot, others = F.broadcast(right.filter(often).drop("uses")), right.filter(~often).drop("uses")
+    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(others, key))
 
 
 def mix(x: np.ndarray) -> np.ndarray:

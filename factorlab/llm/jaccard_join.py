@@ -6,13 +6,12 @@ Shingles are 64-bit hashes, and their order by value is the global order. Docume
    of the global order. With l = n/8 these prefixes, by parts of the hash space, show which of their shingles another class has; a
    class with too few of them links with nothing. Of the others, ordered by how many classes have them, all but the last l - 1 are
    enough for two classes that link to meet: these are a class's link shingles.
-2. Stars. In each group of classes that meet in a link shingle, all are held against one centre. So most links of large groups
-   of near copies are found with one test for each document.
-3. Rest. Groups whose classes are not all of one component by then are held against each other, block by block.
+2. Chunks. Classes that meet in large groups have one home; a chunk is a bounded number of classes of one home and of similar sizes. Each class is in one chunk.
+3. Blocks. Chunks of which some classes meet are held against each other, so each pair of classes that meet is tested in one block.
 
 A block's one side is stored in a trie of ordered sets. The trie is walked once for all sets of the other side: a vector of partial
 overlaps is carried from node to node, and a subtree is left when what remains of its sets can't reach the threshold any more.
-Of a block's links only those are emitted that join components.
+A block returns a count of links for each of its classes, and of the links only those that join components: never its pairs.
 """
 
 from __future__ import annotations
@@ -26,13 +25,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, batch_words, checkpointed, mix, sliced, stream, written
+from .common import U64, Scratch, batch_words, mix, sliced, stream, written
 from .components import components
 
 WORDS = 5
 PLACES = stream(WORDS, 23) | U64(1)
 #: Sets and shingles that one side of a block has at most, about.
 SIDE, SIDE_SHINGLES = 512, 1 << 17
+#: Bytes of text for each part of the hash space; a part's prefix shingles take about as much in its task.
+PART_BYTES = 16 << 20
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -100,8 +101,8 @@ def trie(rows: list[np.ndarray], sizes: np.ndarray) -> Node:
     return node(order, 0)
 
 
-def block_links(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
-    """(i, j, overlap) for all sets a[i] and b[j] that link."""
+def block_links(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int, np.ndarray]]:
+    """(j, i): for sets b[j] that link, the indices i of all sets a[i] that they link with."""
     if not a or not b:
         return
     both = np.intersect1d(np.concatenate(a), np.concatenate(b))
@@ -124,8 +125,9 @@ def block_links(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int,
         if not (7 * (overlap + node.left) >= 3 * (size_a + node.least)).any():
             continue
         for j in node.ends:
-            for i in np.flatnonzero(7 * overlap >= 3 * (size_a + size_b[j])).tolist():
-                yield i, j, int(overlap[i])
+            found = np.flatnonzero(7 * overlap >= 3 * (size_a + size_b[j]))
+            if len(found):
+                yield j, found
         stack.extend((x, overlap) for x in node.below)
 
 
@@ -200,7 +202,8 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def facts(docs: DataFrame) -> DataFrame:
     """One pass over the texts: rows of documents (doc_id, the hash h of the text, cls, n) and rows of meetings (cls, n, shingle, df)."""
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-volume // PART_BYTES))
     packed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(partial(_prefixes, parts), PACKS)
     return packed.repartition(parts, "part").mapInArrow(_meetings, FACTS)
 
@@ -223,96 +226,105 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return theirs.mapInArrow(each, "cls long, shingles binary").dropDuplicates(["cls"])
 
 
+LINKS = "a long, b long, links long"
+
+
 def _block(table: pa.Table) -> pa.Table:
-    """Of a block's links those that join what wasn't joined: by its sets' components so far, or by links before it in the block."""
+    """Of one block: (class, null, documents that it links with), and (class, class, null) for links that join what no link before them did."""
     sides: tuple[list, list] = ([], [])
-    for row in zip(*(table.column(c).to_pylist() for c in ("cls", "comp", "side", "shingles")), strict=True):
+    for row in zip(*(table.column(c).to_pylist() for c in ("cls", "copies", "side", "shingles")), strict=True):
         sides[row[2]].append((row[0], row[1], np.frombuffer(row[3], dtype=U64)))
     a, b = sides[0], sides[1] or sides[0]
-    parent: dict[int, int] = {}
-
-    def find(x: int) -> int:
-        while (up := parent.get(x, x)) != x:
-            parent[x] = x = parent.get(up, up)
-        return x
-
-    found = []
-    for i, j, _ in block_links([x for _, _, x in a], [x for _, _, x in b]):
-        x, y = find(a[i][1]), find(b[j][1])
-        if x != y:
-            parent[x] = y
-            found.append((a[i][1], b[j][1]))
-    return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
-
-
-def _hold(blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Edges (a, b) between the components of blocks, given as rows (block, side 0 or 1, cls, comp): what their links join.
-
-    A block without a side 1 is held against itself.
-    """
-    return blocks.join(sets, "cls").groupBy("block").applyInArrow(_block, "a long, b long")
-
-
-def _chunks(members: DataFrame, keys: list[str]) -> DataFrame:
+    after = len(a) if sides[1] else 0  # where the second side's classes begin
+    cls, copies = (np.array([x[k] for x in a + sides[1]], dtype=np.int64) for k in (0, 1))
+    links, label = np.zeros(len(cls), dtype=np.int64), np.arange(len(cls))
+    joined: list[tuple[int, int]] = []
+    for j, found in block_links([x for _, _, x in a], [x for _, _, x in b]):
+        j += after
+        found = found[found != j]
+        if not len(found):
+            continue
+        links[j] += copies[found].sum()
+        if after:
+            links[found] += copies[j]
+        if (label[found] != label[j]).any():
+            for k in np.unique(label[found], return_index=True)[1]:
+                i = found[k]
+                if label[i] != label[j]:
+                    joined.append((i, j))
+                    label[label == label[i]] = label[j]
+    some = np.flatnonzero(links)
+    x, y = (np.array([e[k] for e in joined], dtype=np.int64) for k in (0, 1))
+    return pa.table({"a": pa.array(np.append(cls[some], cls[x])), "b": pa.concat_arrays([pa.nulls(len(some), pa.int64()), pa.array(cls[y])]), "links": pa.concat_arrays([pa.array(links[some]), pa.nulls(len(joined), pa.int64())])})
+
+
+def _chunks(members: DataFrame, keys: list[str], scratch: Scratch) -> DataFrame:
     """members with a salt, so that those of equal keys and salt are SIDE sets and SIDE_SHINGLES shingles at most, about."""
     counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_many"), F.sum("n").alias("_sum"))
     salts = F.ceil(F.greatest(F.col("_many") / SIDE, F.col("_sum") / SIDE_SHINGLES)).cast("long")
-    return members.join(counts.select(*keys, salts.alias("_salts")), keys).withColumn("salt", F.pmod(F.xxhash64("cls"), "_salts")).drop("_salts")
+    return members.join(scratch.written(counts.select(*keys, salts.alias("_salts"))), keys).withColumn("salt", F.pmod(F.xxhash64("cls"), "_salts")).drop("_salts")
 
 
-def link_components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs (doc_id, text; other columns are not read).
+def _blocks(link: DataFrame, scratch: Scratch) -> DataFrame:
+    """(block, side 0 or 1, cls), from the link shingles (cls, n, shingle) of classes. A block without a side 1 is held against itself.
 
-    component_id is the smallest doc_id that is reachable by links, the row's own included. Null texts and those without words have no
-    shingles and are linked with nothing. Equal texts, and texts of equal sets, are linked. Rows with null doc_ids link like all others; component_id is null where no
-    row of the component has an id. An empty table gives no rows.
+    Tables of a row for each key are written before they are joined, so that Spark can split the keys that very many rows have.
     """
-    table = written(facts(docs))
-    own, meetings = table.filter("shingle is null").select("doc_id", "h", "cls", "n"), table.filter("shingle is not null")
-
-    # classes that share enough, and their link shingles
-    m = _links_at(F.col("n"))
-    by_class = meetings.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_all")).withColumn("c", F.size("_all")).filter(F.col("c") >= m)
-    link = written(by_class.select("cls", "n", "c", F.explode(F.slice("_all", F.lit(1), (F.col("c") - m + 1).cast("int"))).alias("_one")).select("cls", "n", "c", "_one.shingle"))
-    classes = own.join(link.select("cls").distinct(), "cls", "left_semi").groupBy("cls").agg(F.min(F.struct("doc_id", "h")).alias("_one"))
-    sets = written(_sets(docs, classes.select("_one.*")))
-
-    # stars: the centre has the largest share of its shingles in common with others
-    share = F.col("c") / F.col("n")
-    centres = link.groupBy("shingle").agg(F.max(F.struct(share.alias("s"), (-F.col("cls")).alias("k"), "cls", "n")).alias("_best"), F.count(F.lit(1)).alias("_many")).filter("_many > 1")
-    pairs = link.join(centres, "shingle").select("cls", "n", F.col("_best.cls").alias("centre"), F.col("_best.n").alias("_n")).filter("cls != centre and 4 * n >= 3 * _n and 4 * _n >= 3 * n").distinct()
-    stars = checkpointed(_chunks(pairs, ["centre"]).select("centre", "salt", "cls"))
-    name = F.concat_ws(":", "centre", "salt").alias("block")
-    blocks = stars.select(name, F.lit(1).alias("side"), "cls").union(stars.select("centre", "salt").distinct().select(name, F.lit(0).alias("side"), F.col("centre").alias("cls")))
-    first = components(_hold(blocks.withColumn("comp", F.col("cls")), sets))
-
-    # the rest: groups that still are of several components
-    placed = written(link.join(first.withColumnRenamed("id", "cls"), "cls", "left").select("cls", "n", "shingle", F.coalesce("comp", "cls").alias("comp")))
-    several = placed.groupBy("shingle").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.count(F.lit(1)).alias("_many")).filter("_a != _b").select("shingle", "_many")
-    rest = written(placed.join(several, "shingle"))
-    comps = rest.select("cls", "comp").distinct()
+    groups = scratch.written(link.groupBy("shingle").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1"))
+    met = scratch.written(link.join(groups, "shingle"))
     # a class is at home in the largest group that it meets in three steps, so that families of near copies have one home; sizes
     # within 3/4 of each other are in the same band or in neighbouring ones
     band = F.floor(F.log(F.col("n")) / F.log(F.lit(4.0 / 3)) + 1e-9).cast("int")
-    members = rest.select("cls", "n", "shingle")
-    homes = rest.groupBy("cls", "n").agg(F.max(F.struct("_many", "shingle")).alias("home"))
+    homes = met.groupBy("cls", "n").agg(F.max(F.struct("_many", "shingle")).alias("home"))
     for _ in range(2):
-        best = members.join(homes.select("cls", "home"), "cls").groupBy("shingle").agg(F.max("home").alias("home"))
-        homes = members.join(best, "shingle").groupBy("cls", "n").agg(F.max("home").alias("home"))
+        best = scratch.written(met.join(homes.select("cls", "home"), "cls").groupBy("shingle").agg(F.max("home").alias("home")))
+        homes = scratch.written(met.join(best, "shingle").groupBy("cls", "n").agg(F.max("home").alias("home")))
     homes = homes.select("cls", "n", F.col("home.shingle").alias("home"), band.alias("band"))
-    homes = checkpointed(_chunks(homes, ["home", "band"]).select("cls", F.struct("band", "home", "salt").alias("chunk")))
-    met = rest.select("shingle", "cls").join(homes, "cls").groupBy("shingle").agg(F.sort_array(F.collect_set("chunk")).alias("_met")).select("_met").distinct()
-    met = met.select(F.posexplode("_met").alias("_at", "x"), "_met").select("x", F.explode(F.filter(F.expr("slice(_met, _at + 1, size(_met))"), lambda y: y["band"] <= F.col("x.band") + 1)).alias("y")).distinct()
-    met = checkpointed(met.withColumn("block", F.monotonically_increasing_id()))
-    sides = met.select("block", F.lit(0).alias("side"), F.col("x").alias("chunk")).union(met.filter("x != y").select("block", F.lit(1).alias("side"), F.col("y").alias("chunk")))
-    second = _hold(sides.join(homes.join(comps, "cls"), "chunk").select(F.col("block").cast("string").alias("block"), "side", "cls", "comp"), sets)
-    joined = components(second).select(F.col("comp").alias("_to"), F.col("id").alias("comp"))
-    ends = link.select("cls").distinct().join(first.withColumnRenamed("id", "cls"), "cls", "left").select("cls", F.coalesce("comp", "cls").alias("comp"))
-    return _named(own, ends.join(joined, "comp", "left").select(F.col("cls").alias("id"), F.coalesce("_to", "comp").alias("comp")))
-
-
-def _named(own: DataFrame, found: DataFrame) -> DataFrame:
-    """Rows of documents with the smallest doc_id of their component."""
-    placed = own.join(found.withColumnRenamed("id", "cls"), "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("comp", "cls")).alias("comp"))
-    least = placed.filter("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("_least"))
-    return placed.join(least, "comp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("_least", "doc_id").alias("component_id"))
+    homes = scratch.written(_chunks(homes, ["home", "band"], scratch).select("cls", F.struct("band", "home", "salt").alias("chunk")))
+    # groups that meet the same chunks are taken once
+    chunks = F.sort_array(F.collect_set("chunk"))
+    groups = met.select("shingle", "cls").join(homes, "cls").groupBy("shingle").agg(chunks.alias("_met")).select("_met").distinct()
+    groups = scratch.written(groups.withColumn("g", F.monotonically_increasing_id()).select("g", F.explode("_met").alias("chunk")))
+    x, y = groups.select("g", F.col("chunk").alias("x")), groups.select("g", F.col("chunk").alias("y"))
+    pairs = x.join(y, "g").filter("x <= y and y.band <= x.band + 1").select("x", "y").distinct()
+    pairs = scratch.written(pairs.withColumn("block", F.monotonically_increasing_id()))
+    sides = pairs.select("block", F.lit(0).alias("side"), F.col("x").alias("chunk")).union(pairs.filter("x != y").select("block", F.lit(1).alias("side"), F.col("y").alias("chunk")))
+    return sides.join(homes, "chunk").select("block", "side", "cls")
+
+
+def link_components(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, n_links, stays and h (xxhash64 of the text) for each row of docs (doc_id, text; other columns are not read).
+
+    component_id is the smallest doc_id that is reachable by links, the row's own included; n_links counts the other rows that the row
+    links with; stays is true for rows of one text of each component: that with the smallest doc_id, rows without one last, and of
+    those with the smallest h. Null texts and those without words have no shingles and are linked with nothing. Equal texts, and texts of equal
+    sets, are linked. Rows with null doc_ids link like all others; component_id is null where no row of the component has an id. An
+    empty table gives no rows.
+    """
+    with Scratch(docs.sparkSession) as scratch:
+        table = scratch.written(facts(docs))
+        own, meetings = table.filter("shingle is null").select("doc_id", "h", "cls", "n"), table.filter("shingle is not null")
+        classes = scratch.written(own.groupBy("cls", "n").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies")))
+
+        # classes that share enough, and their link shingles
+        m = _links_at(F.col("n"))
+        by_class = meetings.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_all")).filter(F.size("_all") >= m)
+        link = scratch.written(by_class.select("cls", "n", F.explode(F.slice("_all", F.lit(1), (F.size("_all") - m + 1).cast("int"))).alias("_one")).select("cls", "n", "_one.shingle"))
+        blocks = scratch.written(_blocks(link, scratch))
+        held = classes.join(blocks.select("cls").distinct(), "cls", "left_semi")
+        sets = scratch.written(_sets(docs, held.select("one.*")).join(held.select("cls", "copies"), "cls"))
+        scratch.drop(link)
+        found = scratch.written(blocks.join(sets, "cls").groupBy("block").applyInArrow(_block, LINKS))
+        scratch.drop(sets, blocks)
+        comps = components(found.filter("b is not null").select("a", "b"), scratch).withColumnRenamed("id", "cls")
+        links = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))
+
+        # components of classes, then of rows
+        n_links = F.col("copies") - 1 + F.coalesce("links", F.lit(0))
+        placed = scratch.written(classes.filter("n > 0").join(comps, "cls", "left").join(links, "cls", "left").select("cls", "first", F.coalesce("comp", "cls").alias("comp"), n_links.alias("n_links")))
+        least = scratch.written(placed.groupBy("comp").agg(F.min("first").alias("rep")))
+        named = scratch.written(placed.join(least, "comp").select("cls", "rep.doc_id", F.col("rep.h").alias("_h"), "n_links").withColumnRenamed("doc_id", "_least"))
+        some = F.col("n") > 0
+        component = F.when(some, F.col("_least")).otherwise(F.col("doc_id"))
+        stays = ~some | (F.col("doc_id").eqNullSafe(F.col("_least")) & (F.col("h") == F.col("_h")))
+        return written(own.join(named, "cls", "left").select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), stays.alias("stays"), "h"))

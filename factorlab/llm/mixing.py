@@ -75,7 +75,7 @@ def plan(docs: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFrame:
 
     Null texts have no words. Documents without words have size 0 and take nothing. Repeated ids are told apart by their text.
     """
-    sizes = checkpointed(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_at")))
+    sizes = checkpointed(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_at"), F.xxhash64("text").alias("h")))
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     goals = targets(sources).withColumn("_n", F.least(F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.lit(1)), F.lit(SHARDS)))
     goals = checkpointed(goals)
@@ -117,7 +117,7 @@ def taken_spans(seed: int = 17) -> Column:
 
 
 def mix_sources(docs: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, taken, passes, spans and source_quota, one row for each row of docs.
+    """doc_id, source, size, source_size, target, taken, passes, spans, source_quota and h (xxhash64 of the text), one row for each row of docs.
 
     `taken` counts the words that the mix takes from the document: `passes` times all of them, and those in `spans` once more.
     An empty table gives no rows.
@@ -125,4 +125,4 @@ def mix_sources(docs: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFram
     out = plan(docs, seed, block).withColumn("spans", taken_spans(seed))
     extra = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["b"] - x["a"])
     passes = F.coalesce("_passes", F.lit(0)).cast("long")
-    return out.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + extra).alias("taken"), passes.alias("passes"), "spans", F.col("_quota").alias("source_quota"))
+    return out.select("doc_id", "source", "size", "source_size", "target", (passes * F.col("size") + extra).alias("taken"), passes.alias("passes"), "spans", F.col("_quota").alias("source_quota"), "h")

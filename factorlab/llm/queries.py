@@ -49,7 +49,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return link_components(read(spark, sf_dir, "documents"))
+    return link_components(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 @registered

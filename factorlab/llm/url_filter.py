@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, written
+from .common import checkpointed, matched, written
 
 #: (verdict, host, path): fits the host and all its subdomains where the URL's path starts with the path.
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
@@ -101,23 +101,12 @@ def unigrams(pages: DataFrame) -> DataFrame:
     return checkpointed(counts.union(seeds).groupBy("word").agg(F.max("n").alias("n")))
 
 
-def matched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
-    """left joined with right, which has each key of left once, with `uses`, the rows that left has of it (dropped).
-
-    Fewer than HOT keys can have more than 1/HOT of the rows; those are broadcast, so that no task gets more than that of a key.
-    """
-    total = right.agg(F.sum("uses")).first()[0] or 0
-    often = F.col("uses") * HOT > total
-    hot, others = F.broadcast(right.filter(often).drop("uses")), right.filter(~often).drop("uses")
-    return left.join(hot, key).unionByName(left.join(hot.select(key), key, "left_anti").join(others, key))
-
-
 def splits(runs: DataFrame, model: DataFrame) -> DataFrame:
     """run, words, uses from the distinct runs of letters (run, uses): each run's own part of the model is joined to it."""
     windows = runs.select("run", F.explode(F.transform(F.sequence(F.lit(1), F.length("run")), lambda i: F.substring(F.col("run"), i, F.lit(LONGEST)))).alias("_w")).filter(F.length("_w") > 1)
     held = windows.select("run", F.explode(F.transform(F.sequence(F.lit(2), F.length("_w")), lambda n: F.substring(F.col("_w"), F.lit(1), n))).alias("word"))
     uses = held.groupBy("word").agg(F.count(F.lit(1)).alias("uses"))
-    known = matched(held, checkpointed(uses.join(model, "word", "left")), "word").filter("n is not null")
+    known = matched(held, checkpointed(uses.join(model, "word", "left")), "word", HOT).filter("n is not null")
     known = known.groupBy("run").agg(F.collect_set(F.struct("word", "n")).alias("known"))
     whole = model.agg(F.sum("n").alias("total"), F.max(F.length("word")).alias("longest")).first()
     total, longest = whole["total"], whole["longest"]
@@ -138,7 +127,7 @@ def featured(rows: DataFrame, model: DataFrame) -> DataFrame:
         return F.transform(F.regexp_extract_all(text, F.lit(PARTS.pattern), F.lit(0)), lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("run")))
 
     held = written(rows.select("_row", F.inline(F.concat(runs("h:", F.regexp_extract("host", r"(?s)^(.*)\.", 1)), runs("p:", F.lower("path"))))))
-    own = matched(held, checkpointed(splits(checkpointed(held.groupBy("run").agg(F.count(F.lit(1)).alias("uses"))), model)), "run")
+    own = matched(held, checkpointed(splits(checkpointed(held.groupBy("run").agg(F.count(F.lit(1)).alias("uses"))), model)), "run", HOT)
     unwanted = F.max((F.col("kind") == "h:") & F.arrays_overlap("words", F.array(*[F.lit(w) for w in SEEDS])))
     own = own.groupBy("_row").agg(F.flatten(F.collect_list(F.transform("words", lambda w: F.concat("kind", w)))).alias("_features"), unwanted.alias("_unwanted"))
     out = rows.join(own, "_row", "left").withColumn("features", F.coalesce("_features", F.array().cast("array<string>")))
@@ -161,7 +150,7 @@ def judge_urls(pages: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES
     counts = checkpointed(counts)
     sums = counts.agg(F.coalesce(F.sum("block"), F.lit(0)).alias("b"), F.coalesce(F.sum("allow"), F.lit(0)).alias("a"), F.count(F.lit(1)).alias("v")).first()
     seen = table.agg(F.count_if("unwanted").alias("b"), F.count_if(~F.col("unwanted")).alias("a")).first()
-    own = matched(words.drop("unwanted"), counts, "word").groupBy("_row").agg(F.collect_list(F.struct("word", "block", "allow")).alias("found"))
+    own = matched(words.drop("unwanted"), counts, "word", HOT).groupBy("_row").agg(F.collect_list(F.struct("word", "block", "allow")).alias("found"))
     return scored(table.join(own, "_row", "left"), (sums["b"], sums["a"], sums["v"]), math.log((seen["b"] + 1) / (seen["a"] + 1)), seen["b"] == 0)
 
 

@@ -5,8 +5,9 @@ first: their substrings are sorted by the same induction, named, and the string
 than IN_MEMORY. From the S* suffixes in order all L suffixes are induced by ascending, from those all S suffixes by descending
 scans. What a scan finds goes to a priority queue: its priority is the first character, and among equal ones the order in which they
 come is the order of the suffixes. Queues carry tuples of position and common prefix with the tuple before, and put themselves on disk
-when they hold more than QUEUED tuples. Common prefixes are counted up to a cap; the one of two suffixes put in is one more than the
-least between the two that induced them.
+when they hold more than QUEUED tuples; the text, its types, the S* suffixes and their names are files where they are larger than
+RESIDENT bytes, so a shard's memory has a bound whatever its size. Common prefixes are counted up to a cap; the one of two suffixes
+put in is one more than the least between the two that induced them. Those of S* neighbours are counted in the text.
 """
 
 from __future__ import annotations
@@ -17,10 +18,8 @@ from collections.abc import Callable
 
 import numpy as np
 
-from .common import BASE, U64, mix, powers
-
 #: Names that are sorted in memory; tuples that a queue holds in memory; tuples in a step of a scan; bytes of an array that stays in memory.
-IN_MEMORY, QUEUED, STEP, RESIDENT = 1 << 24, 1 << 24, 1 << 18, 1 << 28
+IN_MEMORY, QUEUED, STEP, RESIDENT = 1 << 23, 1 << 22, 1 << 18, 1 << 25
 
 
 def room(n: int, kind: type) -> np.ndarray:
@@ -30,6 +29,32 @@ def room(n: int, kind: type) -> np.ndarray:
     return np.memmap(tempfile.TemporaryFile(), dtype=kind, shape=(n,), mode="w+")
 
 
+class Growing:
+    """An array that gets longer: in memory up to RESIDENT bytes, then in an unnamed file of this task's own."""
+
+    def __init__(self, kind: type) -> None:
+        self.kind, self.parts, self.held, self.n, self.file = np.dtype(kind), [], 0, 0, None
+
+    def add(self, values: np.ndarray) -> None:
+        self.parts.append(values)
+        self.n += len(values)
+        self.held += values.nbytes
+        if self.held > RESIDENT:
+            self.file = self.file or tempfile.TemporaryFile()
+            for x in self.parts:
+                self.file.write(np.ascontiguousarray(x, dtype=self.kind).tobytes())
+            self.parts, self.held = [], 0
+
+    def whole(self) -> np.ndarray:
+        if self.file is None:
+            return np.concatenate(self.parts).astype(self.kind, copy=False) if self.parts else np.zeros(0, self.kind)
+        for x in self.parts:
+            self.file.write(np.ascontiguousarray(x, dtype=self.kind).tobytes())
+        self.parts = []
+        self.file.flush()
+        return np.memmap(self.file, dtype=self.kind, shape=(self.n,), mode="r+")
+
+
 class Queue:
     """A priority queue of (position, common prefix) by character; of one character, first come, first served."""
 
@@ -277,48 +302,87 @@ def _doubled(names: np.ndarray, cap: int) -> np.ndarray:
         step *= 2
 
 
+def _where(flags: np.ndarray) -> np.ndarray:
+    """Places of what is true, found a step at a time."""
+    out = Growing(np.int64)
+    for k in range(0, len(flags), STEP):
+        out.add(np.flatnonzero(flags[k : k + STEP]) + k)
+    return out.whole()
+
+
+def _by_symbol(text: np.ndarray, stars: np.ndarray) -> np.ndarray:
+    """The places in order of their symbols, equal ones as they come."""
+    if text.dtype != np.uint8:  # names, of which there can be as many as places
+        return stars[np.argsort(text[stars], kind="stable")]
+    out, count = room(len(stars), np.int64), np.zeros(256, dtype=np.int64)
+    for k in range(0, len(stars), STEP):
+        count += np.bincount(text[stars[k : k + STEP]], minlength=256)
+    at = np.cumsum(count) - count
+    for k in range(0, len(stars), STEP):
+        own = stars[k : k + STEP]
+        symbol = text[own]
+        order = np.argsort(symbol, kind="stable")
+        here = np.bincount(symbol, minlength=256)
+        out[np.arange(len(own)) + np.repeat(at - (np.cumsum(here) - here), here)] = own[order]
+        at += here
+    return out
+
+
 def star_order(text: np.ndarray, small: np.ndarray, cap: int) -> np.ndarray:
     """The S* suffixes in order."""
-    stars = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    is_star = room(len(text), bool)
+    for k in range(1, len(text), STEP):
+        is_star[k : k + STEP] = small[k : k + STEP] & ~small[k - 1 : min(k + STEP, len(text)) - 1]
+    stars = _where(is_star)
     if len(stars) < 2:
         return stars
-    first = stars[np.argsort(text[stars], kind="stable")]
-    is_star = room(len(text), bool)
-    is_star[stars] = True
-    found: list[np.ndarray] = []
-    induce(text, small, first, np.zeros(len(first), dtype=np.uint16), 0, lambda position, _: found.append(position[is_star[position]]))
-    ordered = np.concatenate(found)[::-1]  # by their substrings up to the next one
-    # substrings are told apart by their lengths and 64-bit sums of powers, the end of the text being a length of its own
-    where = np.cumsum(is_star, dtype=np.int32)[ordered] - 1
-    ends = np.append(stars[1:] + 1, len(text) + 1)[where]
-    size = ends - ordered
-    code = _codes(text, ordered, np.minimum(ends, len(text)))
-    new = (size[1:] != size[:-1]) | (code[1:] != code[:-1])
-    name = np.append([0], np.cumsum(new))
-    if name[-1] == len(stars) - 1:
+    first = _by_symbol(text, stars)
+    found = Growing(np.int64)
+    induce(text, small, first, np.zeros(len(first), dtype=np.uint16), 0, lambda position, _: found.add(position[is_star[position]]))
+    ordered = found.whole()[::-1]  # by their substrings up to the next one
+    # a substring's name is the number of different ones before it; neighbours are held against each other symbol by symbol
+    names = room(len(stars), np.int64)
+    last = -1
+    before = (-1, 0)
+    for k in range(0, len(ordered), STEP):
+        own = np.asarray(ordered[k : k + STEP])
+        place = np.searchsorted(stars, own)
+        size = np.where(place + 1 < len(stars), stars[np.minimum(place + 1, len(stars) - 1)] + 1 - own, 0)  # the last one is like no other
+        a, of_a = np.append(before[0], own[:-1]), np.append(before[1], size[:-1])
+        new = (of_a != size) | (size == 0)
+        new |= ~_same(text, a, own, np.where(new, 0, size))
+        name = last + np.cumsum(new)
+        names[place] = name
+        last, before = int(name[-1]), (int(own[-1]), int(size[-1]))
+    if last == len(stars) - 1:
         return ordered
-    names = np.empty(len(stars), dtype=np.int64)
-    names[where] = name
-    if len(names) <= IN_MEMORY:
-        return stars[_doubled(names, cap)]
-    return stars[suffix_order(names)]
+    order = _doubled(names, cap) if len(names) <= IN_MEMORY else suffix_order(names)
+    out = room(len(stars), np.int64)
+    for k in range(0, len(out), STEP):
+        out[k : k + STEP] = stars[order[k : k + STEP]]
+    return out
 
 
-def _codes(text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        up, down = powers(BASE, len(text) + 1), powers(pow(BASE, -1, 1 << 64), len(text) + 1)
-        sums = np.zeros(len(text) + 1, dtype=U64)
-        np.cumsum(mix(text.astype(U64) + U64(1)) * up[: len(text)], out=sums[1:])
-        return (sums[stop] - sums[start]) * down[start]
+def _same(text: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether text[a : a + size] and text[b : b + size] are equal, for each pair."""
+    out = np.ones(len(a), dtype=bool)
+    live, k = np.flatnonzero(size > 0), 0
+    while len(live):
+        equal = text[a[live] + k] == text[b[live] + k]
+        out[live[~equal]] = False
+        k += 1
+        live = live[equal]
+        live = live[size[live] > k]
+    return out
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
     """All suffixes of a string of numbers from 0 on, in order: the recursion's step."""
     small = types(text)
     seeds = star_order(text, small, 0)
-    found: list[np.ndarray] = []
-    induce(text, small, seeds, np.zeros(len(seeds), dtype=np.uint16), 0, lambda position, _: found.append(position))
-    return np.concatenate(found)[::-1]
+    found = Growing(np.int64)
+    induce(text, small, seeds, np.zeros(len(seeds), dtype=np.uint16), 0, lambda position, _: found.add(position))
+    return found.whole()[::-1]
 
 
 def each_suffix(text: np.ndarray, cap: int, out: Callable[[np.ndarray, np.ndarray], None]) -> None:
@@ -329,8 +393,10 @@ def each_suffix(text: np.ndarray, cap: int, out: Callable[[np.ndarray, np.ndarra
     if len(text):
         small = types(text)
         seeds = star_order(text, small, cap)
-        prefix = np.zeros(len(seeds), dtype=np.uint16)
-        prefix[1:] = shared_prefix(text, seeds[:-1], seeds[1:], cap)
+        prefix = room(len(seeds), np.uint16)
+        for k in range(1, len(seeds), STEP):
+            a, b = seeds[k - 1 : k - 1 + STEP], seeds[k : k + STEP]
+            prefix[k : k + STEP] = shared_prefix(text, a[: len(b)], b, cap)
         induce(text, small, seeds, prefix, cap, out)
 
 

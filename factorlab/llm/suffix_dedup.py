@@ -9,9 +9,12 @@ of its key. So:
    or that can repeat themselves;
 3. the bytes of those are fetched and dealt out by key, and each shard's suffixes are put in order by external induced sorting, with
    common prefixes: neighbours that share SIZE bytes are windows that repeat;
-4. what repeats is joined back to its documents.
+4. keys whose different segments are more than KEY_BYTES together would be one task's, and in runs of a short period, which are segments
+   of more than KEY_WINDOWS windows, a scan goes on one period at a time; theirs are told apart window by window, by 128-bit hashes that
+   are counted before they are shuffled;
+5. what repeats is joined back to its documents.
 
-Keys and segments are named by 64-bit hashes each; a segment is taken for equal only if both agree.
+Segments are taken for equal if the 64-bit hashes of their keys and of their bytes agree, which are of different kinds.
 """
 
 from __future__ import annotations
@@ -22,16 +25,19 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BYTE_VALUE, PIECE, U64, _tables, mix, sliced, written
-from .induced_sorting import repeated_starts
+from .common import BYTE_VALUE, PIECE, U64, Scratch, _tables, mix, sliced, written
+from .induced_sorting import Growing, repeated_starts
 
 SIZE, GRAM = 400, 200
-#: Bytes of segments that a shard should have. Shards of hot keys can be far larger; their queues go to disk.
+#: Bytes of segments that a shard should have.
 SHARD_BYTES = 8 << 20
+#: Bytes of different segments that a key has at most in a shard, and windows that one of its segments has at most.
+KEY_BYTES, KEY_WINDOWS = 8 << 20, 4096
 #: Between segments: a byte that no UTF-8 text has.
 BETWEEN = b"\xff"
 
@@ -62,7 +68,7 @@ def segments(data: np.ndarray, size: int, gram: int) -> tuple[np.ndarray, np.nda
     start = np.flatnonzero(np.append([True], key[1:] != key[:-1]))
     stop = np.append(start[1:], len(key))
     moves = np.append([0], np.cumsum(place[1:] != place[:-1]))
-    return key[start], _hash(sums, start, stop + size - 1), start, stop, moves[stop - 1] > moves[start]
+    return key[start], _hash(data, start, stop + size - 1), start, stop, moves[stop - 1] > moves[start]
 
 
 def _sums(data: np.ndarray) -> np.ndarray:
@@ -71,9 +77,10 @@ def _sums(data: np.ndarray) -> np.ndarray:
     return sums
 
 
-def _hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the bytes from start to end, wherever they are."""
-    return mix((sums[end] - sums[start]) * _tables(len(sums))[1][start] + (end - start).astype(U64))
+def _hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the bytes from start to end."""
+    raw = memoryview(data)
+    return np.array([xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(start.tolist(), end.tolist(), strict=True)], dtype=U64)
 
 
 def _groups(texts: list[str | None], size: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -118,7 +125,7 @@ def _segments(size: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterat
                 start, stop = np.maximum(start[index], begins[doc]), np.minimum(stop[index], begins[doc + 1] - size + 1)
                 keep = start < stop
                 index, doc, start, stop = index[keep], doc[keep], start[keep], stop[keep]
-                key, own, seg = key[index], own[index], _hash(_sums(data), start, stop + size - 1)
+                key, own, seg = key[index], own[index], _hash(data, start, stop + size - 1)
             rows = pa.array(docs[doc])
             yield pa.RecordBatch.from_arrays(
                 [doc_ids.take(rows), hashes.take(rows), pa.array(key.view(np.int64)), pa.array(seg.view(np.int64)), pa.array(start - begins[doc] + offsets[doc]), pa.array((stop - start).astype(np.int32)), pa.array(own)],
@@ -129,55 +136,88 @@ def _segments(size: int, gram: int, batches: Iterator[pa.RecordBatch]) -> Iterat
 def _fetch(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the wanted segments of documents."""
     for batch in sliced(batches, "text", 2 << 20):
-        out: tuple[list, ...] = ([], [], [], [], [])
+        out: tuple[list, ...] = ([], [], [], [], [], [])
         for doc_id, h, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "text", "wanted")), strict=True):
             raw = text.encode()
             for x in wanted:
-                for column, value in zip(out, (doc_id, h, x["key"], x["a"], raw[x["a"] : x["a"] + x["n"] + size - 1]), strict=True):
+                for column, value in zip(out, (doc_id, h, x["key"], x["hot"], x["a"], raw[x["a"] : x["a"] + x["n"] + size - 1]), strict=True):
                     column.append(value)
-        yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:4]), pa.array(out[4], pa.binary())], ["doc_id", "h", "key", "a", "bytes"])
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["doc_id", "h", "key", "hot", "a", "bytes"])
+
+
+def _windows(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each window of the given segments: (doc_id, h, a, and its hash in two halves)."""
+    for batch in batches:
+        for doc_id, h, a, raw in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "h", "a", "bytes")), strict=True):
+            windows = len(raw) - size + 1
+            for start in range(0, windows, 1 << 16):
+                n = min(windows - start, 1 << 16)
+                halves = np.frombuffer(b"".join(xxhash.xxh3_128_digest(raw[k : k + size]) for k in range(start, start + n)), dtype=np.int64).reshape(n, 2)
+                first = pa.array(np.arange(a + start, a + start + n))
+                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * n, pa.int64()), pa.array([h] * n, pa.int64()), first, pa.array(halves[:, 0]), pa.array(halves[:, 1])], ["doc_id", "h", "a", "w", "v"])
 
 
 def _sort(size: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One shard: (doc_id, h, first, last byte exclusive) of what its repeated windows cover."""
-    ids, hashes, places, parts = [], [], [], []
+    """One shard: (doc_id, h, first, last byte exclusive) of what its repeated windows cover. Its text is a file where it is large."""
+    ids, hashes, places, sizes, text = [], [], [], [], Growing(np.uint8)
     for batch in batches:
         ids.append(batch.column("doc_id"))  # can have nulls
         for column, name in ((hashes, "h"), (places, "a")):
             column.append(batch.column(name).to_numpy())
-        parts.extend(batch.column("bytes").to_pylist())
-    if not parts:
+        for raw in batch.column("bytes").to_pylist():
+            sizes.append(len(raw) + 1)
+            text.add(np.frombuffer(raw + BETWEEN, dtype=np.uint8))
+    if not sizes:
         return
-    begins = np.cumsum([0, *(len(x) + 1 for x in parts)])
-    text = np.frombuffer(BETWEEN.join([*parts, b""]), dtype=np.uint8)
-    del parts
-    inside = np.zeros(len(text) + 1, dtype=np.int8)  # only strings that end within their segment count
-    inside[begins[:-1]], inside[begins[1:] - size] = 1, -1
-    twice = repeated_starts(text, size) & (np.cumsum(inside[:-1], dtype=np.int8) > 0)
-    edge = np.diff(twice.astype(np.int8), prepend=0, append=0)
-    first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    own = np.searchsorted(begins, first, side="right") - 1
-    at = np.concatenate(places)[own] - begins[own]
-    yield pa.RecordBatch.from_arrays([pa.concat_arrays(ids).take(pa.array(own)), pa.array(np.concatenate(hashes)[own]), pa.array(first + at), pa.array(last + at + size - 1)], ["doc_id", "h", "a", "b"])
+    begins = np.cumsum([0, *sizes])
+    text = text.whole()
+    twice = repeated_starts(text, size)
+    at, own_ids, own_hashes = np.concatenate(places), pa.concat_arrays(ids), np.concatenate(hashes)
+    for k in range(0, len(sizes), 1 << 14):  # segments, a stretch at a time
+        stop = min(k + (1 << 14), len(sizes))
+        part = twice[begins[k] : begins[stop]]
+        inside = np.zeros(len(part) + 1, dtype=np.int8)  # only strings that end within their segment count
+        inside[begins[k:stop] - begins[k]], inside[begins[k + 1 : stop + 1] - size - begins[k]] = 1, -1
+        edge = np.diff((part & (np.cumsum(inside[:-1], dtype=np.int8) > 0)).astype(np.int8), prepend=0, append=0)
+        first, last = np.flatnonzero(edge == 1) + begins[k], np.flatnonzero(edge == -1) + begins[k]
+        own = np.searchsorted(begins, first, side="right") - 1
+        start = at[own] - begins[own]
+        yield pa.RecordBatch.from_arrays([own_ids.take(pa.array(own)), pa.array(own_hashes[own]), pa.array(first + start), pa.array(last + start + size - 1)], ["doc_id", "h", "a", "b"])
+
+
+SPANS = "doc_id long, h long, a long, b long"
 
 
 def repeats(texts: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
     """(doc_id, h, a, b): the bytes from a to b that repeated windows cover, possibly overlapping; texts has doc_id, h, text."""
     spark = texts.sparkSession
-    all_segments = written(texts.filter(F.octet_length("text") >= size).mapInArrow(partial(_segments, size, gram), SEGMENTS))
-    again = all_segments.groupBy("key").agg(F.count(F.lit(1)).alias("_many"), F.max("own").alias("_own")).filter("_many > 1 or _own").select("key")
-    found = written(all_segments.join(again, "key"))
-    kinds = written(found.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("doc_id", "h", "a", "n")).alias("one"), F.max("own").alias("own")))
-    whole = found.join(kinds.filter("_many > 1").select("key", "seg"), ["key", "seg"]).select("doc_id", "h", "a", (F.col("a") + F.col("n") + size - 1).alias("b"))
-    several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("_kinds"), F.max("own").alias("_own")).filter("_kinds > 1 or _own").select("key")
-    rest = written(kinds.join(several, "key").select("key", "one.*"))
-    volume = rest.agg(F.sum(F.col("n") + size)).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-volume // SHARD_BYTES))
-    wanted = rest.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "a", "n")).alias("wanted"))
-    theirs = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).drop("_d", "_h")
-    dealt = theirs.mapInArrow(partial(_fetch, size), "doc_id long, h long, key long, a long, bytes binary").repartition(shards, "key")
-    sorted_out = dealt.mapInArrow(partial(_sort, size), "doc_id long, h long, a long, b long")
-    return whole.union(sorted_out)
+    with Scratch(spark) as scratch:
+        all_segments = scratch.written(texts.filter(F.octet_length("text") >= size).mapInArrow(partial(_segments, size, gram), SEGMENTS))
+        again = scratch.written(all_segments.groupBy("key").agg(F.count(F.lit(1)).alias("_many"), F.max("own").alias("_own")).filter("_many > 1 or _own").select("key"))
+        found = scratch.written(all_segments.join(again, "key"))
+        scratch.drop(all_segments, again)
+        kinds = scratch.written(found.groupBy("key", "seg").agg(F.count(F.lit(1)).alias("_many"), F.min(F.struct("doc_id", "h", "a", "n")).alias("one"), F.max("own").alias("own")))
+        twice = scratch.written(kinds.filter("_many > 1").select("key", "seg"))
+        whole = scratch.written(found.join(twice, ["key", "seg"]).select("doc_id", "h", "a", (F.col("a") + F.col("n") + size - 1).alias("b")))
+        scratch.drop(found, twice)
+        volume = F.sum(F.col("one.n") + size)
+        several = scratch.written(kinds.groupBy("key").agg(F.count(F.lit(1)).alias("_kinds"), F.max("own").alias("_own"), volume.alias("volume"), F.max("one.n").alias("longest")).filter("_kinds > 1 or _own").select("key", ((F.col("volume") > KEY_BYTES) | (F.col("longest") > KEY_WINDOWS)).alias("hot"), "volume"))
+        rest = scratch.written(kinds.join(several.drop("volume"), "key").select("key", "hot", "one.*"))
+        scratch.drop(kinds)
+        total, hot = several.agg(F.sum(F.when(~F.col("hot"), F.col("volume"))), F.max("hot")).first()
+        shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total or 0) // SHARD_BYTES))
+        wanted = scratch.written(rest.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("key", "hot", "a", "n")).alias("wanted")))
+        theirs = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("h") == F.col("_h"))).drop("_d", "_h")
+        bytes_of = theirs.mapInArrow(partial(_fetch, size), "doc_id long, h long, key long, hot boolean, a long, bytes binary")
+        if hot:
+            bytes_of = scratch.written(bytes_of)
+            windows = scratch.written(bytes_of.filter("hot").select("doc_id", "h", "a", "bytes").mapInArrow(partial(_windows, size), "doc_id long, h long, a long, w long, v long"))
+            again = scratch.written(windows.groupBy("w", "v").agg(F.count(F.lit(1)).alias("_many")).filter("_many > 1").select("w", "v"))
+            whole = whole.union(windows.join(again, ["w", "v"]).select("doc_id", "h", "a", (F.col("a") + size).alias("b")))
+            bytes_of = bytes_of.filter("not hot")
+        sorted_out = bytes_of.repartition(shards, "key").mapInArrow(partial(_sort, size), SPANS)
+        return written(whole.union(sorted_out))
 
 
 def _merged(spans: list[dict]) -> list[tuple[int, int]]:

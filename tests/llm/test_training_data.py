@@ -6,6 +6,7 @@ import hashlib
 import itertools
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -13,8 +14,9 @@ import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
+from pyspark.sql import functions as F
 
-from factorlab.llm import fm_classifier, induced_sorting, media_ts, token_counts, url_filter, warc
+from factorlab.llm import fm_classifier, induced_sorting, jaccard_join, media_ts, quality_rules, suffix_dedup, token_counts, url_filter, warc
 from factorlab.llm.components import components
 from factorlab.llm.jaccard_join import block_links, link_components, trie
 from factorlab.llm.mixing import apportion, mix_sources
@@ -187,6 +189,55 @@ def test_induced_sorting(monkeypatch, limits):
             assert n == next((k for k, (s, t) in enumerate(zip(x, y, strict=False)) if s != t), min(len(x), len(y)))
 
 
+def test_suffix_dedup_of_hot_keys(spark, docs, monkeypatch):
+    """Keys with more different segments than a shard takes are settled window by window."""
+    monkeypatch.setattr(suffix_dedup, "KEY_BYTES", 1000)
+    r = random.Random(17)
+    passage = prose(r, 120)
+    table = [(k, f"{prose(r, 40)} {passage[: r.randrange(430, 600)]} {prose(r, 40)}") for k in range(30)] + [(k, "ab" * r.randrange(300, 400) + str(k)) for k in range(40, 44)] + [(None, passage), (50, None)]
+    texts = [(t or "").encode() for _, t in table]
+    want = [(k, len(t), int(mask.sum())) for (k, _), t, mask in zip(table, texts, covered(texts, 400), strict=True)]
+    got = [(x["doc_id"], x["n_bytes"], x["n_removed"]) for x in removal_digest(spark.createDataFrame(table, "doc_id long, text string").repartition(3)).collect()]
+    assert Counter(got) == Counter(want)
+
+
+def test_suffix_dedup_of_long_texts(spark):
+    """Texts of several pieces: repeats that reach over the end of a piece, and a text of one symbol."""
+    r = random.Random(18)
+    long, passage = " ".join(f"{r.random():.9f}" for _ in range(130_000)), prose(r, 150)
+    at = (1 << 20) - 200
+    table = [(1, long[:at] + passage + long[at:]), (2, passage + long[1_300_000 : 1_300_000 + 700]), (3, "z" * 1_200_000), (4, long[:at][-399:])]
+    mask = [[(at, at + len(passage)), (1_300_000 + len(passage), 1_300_000 + len(passage) + 700)], [(0, len(passage) + 700)], [(0, 1_200_000)], []]
+    assert len(table[0][1]) > 1_400_000 and passage.isascii() is False
+    got = {x["doc_id"]: x for x in removal_digest(spark.createDataFrame(table, "doc_id long, text string")).collect()}
+    for (k, text), spans in zip(table, mask, strict=True):
+        raw, kept, end = text.encode(), b"", 0
+        for a, b in spans:
+            a, b = len(text[:a].encode()), len(text[:b].encode())
+            kept, end = kept + raw[end:a], b
+        kept += raw[end:]
+        assert (got[k]["n_removed"], got[k]["n_spans"], got[k]["kept_sha256"]) == (len(raw) - len(kept), len(spans), hashlib.sha256(kept).hexdigest())
+
+
+def test_sorting_within_memory(monkeypatch):
+    """With small limits a shard's arrays and queues are files, and what is held in memory is much less."""
+    r = np.random.default_rng(4)
+    text = r.integers(97, 101, 1 << 20, dtype=np.uint8)
+    text[700_000:740_000] = text[100_000:140_000]
+    text[[99_999, 140_000]], text[[699_999, 740_000]] = 97, 98
+    want = np.zeros(len(text), bool)
+    want[100_000 : 140_000 - 399] = want[700_000 : 740_000 - 399] = True
+    peak = []
+    for limits in ({}, {"STEP": 1 << 14, "QUEUED": 1 << 16, "RESIDENT": 1 << 16}):
+        for k, v in limits.items():
+            monkeypatch.setattr(induced_sorting, k, v)
+        tracemalloc.start()
+        assert (np.asarray(induced_sorting.repeated_starts(text, 400)) == want).all()
+        peak.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peak[1] < 0.7 * peak[0]
+
+
 # -- 4
 
 
@@ -203,44 +254,54 @@ def test_token_counts(docs, none):
 # -- 5
 
 
-def brute_components(table: list[tuple]) -> dict[int, tuple[int, int]]:
+def brute_links(table: list[tuple]) -> list[tuple[int, int, int]]:
+    """Size of the set, smallest id reachable, and number of links of each row."""
     lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    sets = {}
-    for doc_id, text, *_ in table:
+    sets = []
+    for _, text, *_ in table:
         w = words((text or "").translate(lower))
-        sets[doc_id] = set(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else {tuple(w)} if w else set()
-    parent = {k: k for k in sets}
+        sets.append(set(zip(*[w[k:] for k in range(5)], strict=False)) if len(w) >= 5 else {tuple(w)} if w else set())
+    parent, links = list(range(len(sets))), [0] * len(sets)
 
     def find(a: int) -> int:
         while parent[a] != a:
             a = parent[a]
         return a
 
-    for a, b in itertools.combinations(sets, 2):
+    for a, b in itertools.combinations(range(len(sets)), 2):
         x, y = sets[a], sets[b]
         if x and y and 100 * len(x & y) >= 75 * len(x | y):
-            a, b = sorted((find(a), find(b)))
-            parent[b] = a
-    return {k: (len(sets[k]), find(k)) for k in sets}
+            links[a] += 1
+            links[b] += 1
+            parent[find(b)] = find(a)
+    least: dict[int, list] = defaultdict(list)
+    for k, (doc_id, *_) in enumerate(table):
+        least[find(k)].append(doc_id)
+    return [(len(x), min((i for i in least[find(k)] if i is not None), default=None), links[k]) for k, x in enumerate(sets)]
+
+
+def linked(df) -> Counter:
+    return Counter(tuple(x) for x in link_components(df).select("doc_id", "n_shingles", "component_id", "n_links").collect())
+
+
+def want_linked(table: list[tuple]) -> Counter:
+    return Counter((row[0], *x) for row, x in zip(table, brute_links(table), strict=True))
 
 
 def test_jaccard_join(spark, docs, none):
-    want = brute_components(rows())
-    got = link_components(docs).collect()
-    assert len(got) == len(rows())
-    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert linked(docs) == want_linked(rows())
     assert link_components(none).count() == 0
     # a family whose members are near its first text, but some not near each other
     r = random.Random(8)
     base = prose(r, 300).split()
-    family = []
+    family = [(900 + k, " ".join(base)) for k in range(3)]
     for k in range(60):
         w = list(base)
         for _ in range(r.randrange(0, 14)):
             w[r.randrange(300)] = f"w{r.random()}"
         family.append((k, " ".join(w[: r.randrange(220, 300)])))
     df = spark.createDataFrame(family, "doc_id long, text string")
-    assert {x["doc_id"]: (x["n_shingles"], x["component_id"]) for x in link_components(df).collect()} == brute_components(family)
+    assert linked(df) == want_linked(family)
 
 
 def test_jaccard_join_of_null_ids(spark):
@@ -248,20 +309,37 @@ def test_jaccard_join_of_null_ids(spark):
     w = prose(random.Random(13), 300).split()
     table = [(1, w[:250]), (None, w), (2, w[50:]), (None, w[::-1]), (None, w[::-1][:280]), (7, w[::2]), (7, w[::3])]
     df = spark.createDataFrame([(k, " ".join(x)) for k, x in table], "doc_id long, text string").repartition(3)
-    want = [(1, 246, 1), (None, 296, 1), (2, 246, 1), (None, 296, None), (None, 276, None), (7, 146, 7), (7, 96, 7)]
-    assert Counter(tuple(x) for x in link_components(df).select("doc_id", "n_shingles", "component_id").collect()) == Counter(want)
+    want = want_linked([(k, " ".join(x)) for k, x in table])
+    assert (None, 296, 1, 2) in want and (None, 276, None, 1) in want
+    assert linked(df) == want
+
+
+def test_jaccard_join_of_many_blocks(spark, monkeypatch):
+    """Small chunks make a family, sets of other sizes and passers-by meet in many blocks."""
+    monkeypatch.setattr(jaccard_join, "SIDE", 7)
+    monkeypatch.setattr(jaccard_join, "PART_BYTES", 5000)
+    r = random.Random(21)
+    base, other = prose(r, 200).split(), prose(r, 60)
+    table = []
+    for k in range(90):
+        w = list(base)
+        for _ in range(r.randrange(0, 9)):
+            w[r.randrange(200)] = f"w{r.randrange(4)}"
+        table.append((k, " ".join(w[: r.choice([200, 198, 160, 130])])))
+    table += [(200 + k, f"{prose(r, 30)} {other} {prose(r, r.randrange(1, 40))}") for k in range(40)] + [(300, other), (None, None), (301, " ")]
+    assert linked(spark.createDataFrame(table, "doc_id long, text string").repartition(4)) == want_linked(table)
 
 
 def test_trie_of_a_block():
     r = np.random.default_rng(0)
     pool = np.sort(r.integers(0, 1 << 60, 60).astype(np.uint64))
     side = [np.sort(r.choice(pool, r.integers(1, 60), replace=False)) for _ in range(40)] + [pool, pool[:-1]]
-    got = {(i, j, n) for i, j, n in block_links(side, side)}
+    got = {(i, j) for j, found in block_links(side, side) for i in found.tolist()}
     want = set()
     for i, j in itertools.product(range(len(side)), repeat=2):
         n = len(np.intersect1d(side[i], side[j]))
         if 7 * n >= 3 * (len(side[i]) + len(side[j])):
-            want.add((i, j, n))
+            want.add((i, j))
     assert got == want
     assert trie([np.array([1, 2]), np.array([1, 3])], np.array([2, 2])).segment.tolist() == [1]
 
@@ -382,6 +460,75 @@ def test_quality_outliers(spark, sf_dir):
     assert sum(not r["kept"] for r in bad) >= 0.9 * len(bad)
 
 
+def mcd(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Reweighted minimum covariance determinant of the rows of x, with numpy."""
+    p, floor = x.shape[1], np.diag(np.square(list(quality_rules.SPREADS.values())))
+    median = lambda v: (np.sort(np.floor(v * quality_rules.CELLS), axis=0)[-(-len(v) // 2) - 1] + 0.5) / quality_rules.CELLS
+    middle = median(x)
+    unit = np.sqrt(np.diag(floor))
+    signs = (x - middle) / unit
+    signs = signs / np.maximum(np.linalg.norm(signs, axis=1, keepdims=True), 1e-9)
+    starts = [(middle, np.diag((1.4826 * median(abs(x - middle))) ** 2)), (x.mean(0), np.cov(x.T, bias=True)), (middle, signs.T @ signs / len(x) * np.outer(unit, unit))]
+
+    def far(m: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return np.einsum("ri,ij,rj->r", x - m, np.linalg.inv(c + floor), x - m)
+
+    def step(m: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        cell = np.floor(np.log2(far(m, c) + 1e-6) * quality_rules.NEAR_CELLS)
+        before = np.searchsorted(np.sort(cell), cell) / len(cell)
+        own = x[before < quality_rules.SHARE]
+        return own.mean(0), quality_rules.CONSISTENT * np.cov(own.T, bias=True).reshape(p, p)
+
+    size = lambda e: np.linalg.slogdet(e[1] + floor)[1]
+    for _ in range(quality_rules.FIRST_STEPS):
+        starts = [step(*e) for e in starts]
+    best = min(starts, key=size)
+    for _ in range(quality_rules.STEPS):
+        after = step(*best)
+        fell = size(best) - size(after) > quality_rules.FALL
+        best = after
+        if not fell:
+            break
+    own = x[far(*best) <= quality_rules.WITHIN]
+    return (own.mean(0), quality_rules.CONSISTENT_WITHIN * np.cov(own.T, bias=True).reshape(p, p)) if len(own) else best
+
+
+def test_quality_distances(spark):
+    """Distances against numpy, and a group of which over a third is junk of one kind."""
+    r, table = random.Random(31), []
+    for lang, source, many, junk in [("en", "a", 150, 80), ("en", "b", 40, 2), ("en", None, 3, 0), ("fr", "a", 25, 1), (None, "c", 1, 0)]:
+        for k in range(many + junk):
+            text = "\n".join(prose(r, r.randrange(5, 30)) for _ in range(r.randrange(4, 30))) + " #" * r.randrange(3)
+            table.append((len(table), text if k < many else " ".join(w + r.choice(["$$", "|%", "#"]) for w in text.split()), lang, source))
+    got = sorted(judge(spark.createDataFrame(table, "doc_id long, text string, lang string, source string"), ["lang", "source"]).collect(), key=lambda x: x["doc_id"])
+    fit = [x for x in got if not x["base_failed"]]
+    n, chars = (np.array([max(1, x[c]) for x in fit], float) for c in ("n_words", "word_chars"))
+    stats = np.column_stack([np.log(n), np.log(chars / n), *(np.log1p([a * x[c] / b for x, b in zip(fit, d, strict=True)]) for a, c, d in ((200, "n_symbols", chars), (100, "n_dup_lines", n), (20, "n_repeat_words", n)))])
+    lean = lambda own, on, k: tuple((k * a + quality_rules.PRIOR * b) / (k + quality_rules.PRIOR) for a, b in zip(own, on, strict=True))
+    of = lambda *key: np.array([[x["lang"], x["source"]][: len(key)] == list(key) for x in fit])
+    everyone = mcd(stats)
+    for lang, source in {(x["lang"], x["source"]) for x in fit}:
+        lang_rows, rows_ = of(lang), of(lang, source)
+        m, c = lean(mcd(stats[rows_]), lean(mcd(stats[lang_rows]), everyone, lang_rows.sum()), rows_.sum())
+        y = stats[rows_] - m
+        want = np.einsum("ri,ij,rj->r", y, np.linalg.inv(c + np.diag(np.square(list(quality_rules.SPREADS.values())))), y)
+        assert [x["distance"] for x, own in zip(fit, rows_, strict=True) if own] == pytest.approx(want.tolist(), rel=1e-6)
+    assert all(x["kept"] == (x["distance"] <= quality_rules.CUT) for x in fit)
+    marked = {k for k, t, *_ in table if re.search(r"\w(\$\$|\|%|#)", t)}
+    assert len(marked) > 80 and {x["doc_id"] for x in got if not x["kept"] and not x["base_failed"]} == {x["doc_id"] for x in fit} & marked
+
+
+def test_repeated_words_of_long_texts(spark, monkeypatch):
+    r = random.Random(32)
+    w = [r.choice("abcdefgh") * r.randrange(1, 5) for _ in range(6000)] + [f"x{k}" for k in range(2000)]
+    count = Counter(zip(w, w[1:], w[2:], strict=False))
+    want = len({j for i in range(len(w) - 2) if count[w[i], w[i + 1], w[i + 2]] > 1 for j in (i, i + 1, i + 2)})
+    df = spark.createDataFrame([(" ".join(w),)], "text string").repartition(2)
+    for limit in (1 << 17, 1 << 10):
+        monkeypatch.setattr(quality_rules, "MANY_WORDS", limit)
+        assert df.select(quality_rules.let(quality_rules.words(F.col("text")), quality_rules.repeated_words).alias("n")).first()["n"] == want
+
+
 # -- 9
 
 
@@ -476,12 +623,12 @@ def test_pipeline(spark, sf_dir):
             kept = {r["doc_id"] for r in judge(before).filter("kept").collect()}
             assert {r["doc_id"] for r in docs.collect()} == kept
         elif name == "ngram_jaccard_join":
-            found = brute_components([(r["doc_id"], r["text"]) for r in before.collect()])
-            assert {r["doc_id"] for r in docs.collect()} == {c for _, c in found.values()}
+            found = brute_links([(r["doc_id"], r["text"]) for r in before.collect()])
+            assert {r["doc_id"] for r in docs.collect()} == {c for _, c, _ in found}
         elif name == "suffix_array_dedup":
             old, new = ({r["doc_id"]: r["text"] for r in x.collect()} for x in (before, docs))
             texts = [t.encode() for t in old.values()]
-            for k, t, mask in zip(old, texts, covered(texts, 400), strict=True):
+            for k, t, mask in zip(old, texts, covered(texts, corpus_pipeline.PASSAGE), strict=True):
                 assert new[k] == bytes(np.frombuffer(t, np.uint8)[~mask]).decode(errors="ignore")
         elif name == "mix_sources":
             taken = {r["doc_id"]: r["taken"] for r in mix_sources(before).collect() if r["taken"]}
@@ -498,5 +645,27 @@ def test_pipeline(spark, sf_dir):
     assert docs.count() > 0
 
 
+def test_stages_of_odd_rows(spark):
+    """Rows without ids, texts that share an id, equal rows, and tables without rows: each stage decides by row."""
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)
+    r = random.Random(41)
+    long = lambda: "\n".join(prose(r, 20) for _ in range(8))
+    a, b, c, d = long(), long(), long(), long()
+    bad = "same words again " * 60
+    table = [(None, a), (None, b), (None, bad), (7, c), (7, bad), (7, c), (8, c + " more"), (3, d), (4, d), (None, d), (9, None), (9, None), (5, " \n"), (5, "one two"), (None, "one two")]
+    full = lambda rows_: spark.createDataFrame([(k, t, "en", "s" if k else None, len(t or "")) for k, t in rows_], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    rows_of = lambda df: Counter((x["doc_id"], x["text"]) for x in df.collect())
+    assert rows_of(stage["quality_rules"](spark, full(table), "")) == Counter(x for x in table if len(words(x[1])) >= 50 and x[1] != bad)
+    want = [(None, a), (None, b), (None, bad), (7, c), (3, d), (9, None), (9, None), (5, " \n"), (5, "one two")]
+    assert rows_of(stage["ngram_jaccard_join"](spark, full([x for x in table if x != (7, bad)]), "")) == Counter(want)
+    mixed = rows_of(stage["mix_sources"](spark, full(table), ""))
+    taken = sum(x["taken"] for x in mix_sources(full(table)).collect())
+    assert sum(len(words(t)) * n for (_, t), n in mixed.items()) == taken > 0
+    for name, f in corpus_pipeline.STAGES:
+        assert f(spark, full([]), "").count() == 0, name
+
+
 def test_registration():
     assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))

@@ -8,11 +8,12 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import public_tokenizers
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from factorlab.llm.common import WORD, read, shared_dir
@@ -22,43 +23,62 @@ from factorlab.llm.quality_rules import judge
 from factorlab.llm.sentencepiece_codec import encode_decode
 from factorlab.llm.suffix_dedup import remove_repeats
 
+#: Bytes of a repeated string that is cut, and of the strings whose hashes deal them out: 50 words of prose, white space included, have
+#: 240 bytes or more but for one passage in a hundred or so.
+PASSAGE, GRAM = 240, 120
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
+    """Equal in all keys, nulls being equal."""
+    return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rules or the robust outlier test reject go."""
-    return docs.select(*COLUMNS).join(judge(docs).filter("kept").select("doc_id"), "doc_id", "left_semi")
+    """Documents that the base rules or the robust outlier test reject go. Rows are judged one by one, whatever their doc_id: a row
+    without one, or with that of a rejected text, stays if it is kept itself."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"))
+    keys = ["doc_id", "_h", "lang", "source"]
+    kept = judge(keyed, ["_h", "lang", "source"]).filter("kept").select(*keys).distinct()
+    return keyed.join(kept, _same(keyed, kept, keys), "left_semi").select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of linked documents the one with the smallest doc_id stays."""
-    first = link_components(docs).filter("doc_id = component_id").select("doc_id")
-    return docs.select(*COLUMNS).join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    """Of each component of linked documents one stays: that of the smallest doc_id (rows without one come last), of several texts of it
+    that of the smallest hash, of equal rows one. Documents without words are linked with nothing and all stay."""
+    keyed = docs.select(*COLUMNS, F.xxhash64("text").alias("_h"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("_words"))
+    some = keyed.filter("_words")
+    keys = ["doc_id", "_h"]
+    first = link_components(docs).filter("stays and n_shingles > 0").select("doc_id", F.col("h").alias("_h")).distinct()
+    one = some.join(first, _same(some, first, keys), "left_semi").dropDuplicates(keys)
+    return one.select(*COLUMNS).union(keyed.filter("not _words").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Bytes of repeated 400-byte strings are cut from the texts; a document of which nothing is left stays with an empty text."""
-    return remove_repeats(docs.select(*COLUMNS))
+    """Bytes of repeated strings of PASSAGE bytes are cut from the texts; a document of which nothing is left stays with an empty text."""
+    return remove_repeats(docs.select(*COLUMNS), PASSAGE, GRAM)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One row for each time that a document is taken whole, and one with the words of its chosen blocks."""
+    """For each row that the mix takes of a text: one row for each time that it is taken whole, and one with the words of its chosen blocks."""
     word = regex.compile(WORD)
     for batch in batches:
         out: dict[str, list] = {c: [] for c in COLUMNS}
         for row in batch.to_pylist():
             text = row["text"] or ""
-            texts = [text] * row["passes"]
-            if row["spans"]:
-                places = [m.span() for m in word.finditer(text)]
+            places = [m.span() for m in word.finditer(text)] if any(x["spans"] for x in row["_takes"]) else []
+            texts = []
+            for take in row["_takes"]:
+                texts += [text] * take["passes"]
                 # neighbouring blocks are one run of text
                 runs: list[list[int]] = []
-                for x in sorted(row["spans"], key=lambda s: s["a"]):
+                for x in sorted(take["spans"] or [], key=lambda s: s["a"]):
                     if runs and runs[-1][1] == x["a"]:
                         runs[-1][1] = x["b"]
                     else:
                         runs.append([x["a"], x["b"]])
-                texts.append(text if runs == [[0, len(places)]] else "\n".join(text[places[a][0] : places[b - 1][1]] for a, b in runs))
+                if runs:
+                    texts.append(text if runs == [[0, len(places)]] else "\n".join(text[places[a][0] : places[b - 1][1]] for a, b in runs))
             for t in texts:
                 for c in COLUMNS:
                     out[c].append({"text": t, "n_chars": len(t)}.get(c, row[c]))
@@ -66,9 +86,13 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often and as much as the mix takes of them."""
-    plan = mix_sources(docs).filter("taken > 0").select("doc_id", "passes", "spans")
-    return docs.select(*COLUMNS).join(plan, "doc_id").mapInArrow(_cut, "doc_id long, text string, lang string, source string, n_chars long")
+    """Documents as often and as much as the mix takes of them. Rows of equal doc_id, source and text are one document taken more often."""
+    keys = ["doc_id", "source", "_h"]
+    takes = mix_sources(docs).filter("taken > 0").groupBy("doc_id", "source", F.col("h").alias("_h")).agg(F.collect_list(F.struct("passes", "spans")).alias("_takes"))
+    takes = takes.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
+    once = docs.select(*COLUMNS, F.xxhash64("text").alias("_h")).dropDuplicates(keys)
+    match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    return once.join(takes, match).select(*COLUMNS, "_takes").mapInArrow(_cut, "doc_id long, text string, lang string, source string, n_chars long")
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

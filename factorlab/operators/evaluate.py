@@ -97,6 +97,11 @@ def ic_by_minute(df: DataFrame, factors: list[str], target: str | dict[str, str]
     return each.select("minute_index", F.explode(F.array(*[f"_{k}" for k in range(len(factors))])).alias("_f")).select("_f.factor", "minute_index", "_f.n", "_f.ic").filter("n > 0")
 
 
+def minutes_wide(minutes: DataFrame, factors: list[str]) -> DataFrame:
+    """minute_index and a column for each factor, from the rows of ic_by_minute."""
+    return minutes.groupBy("minute_index").pivot("factor", factors).agg(F.first("ic"))
+
+
 def clock(minute: Column, market_open: str = "08:00") -> Column:
     """HH:MM of so many minutes after the open."""
     start = F.to_timestamp_ntz(F.lit(f"2000-01-01 {market_open}:00"))

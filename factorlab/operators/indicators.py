@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorlab.functions.safe import div
-from factorlab.functions.windows import Session, smoothed
+from factorlab.functions.windows import LONGEST, Session, ewm_adjusted, smoothed
 
 Result = tuple[DataFrame, list[str]]
 
 
-def rsi(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (14, 7, 5, 3), keys: list[str] | None = None) -> Result:
+def rsi(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (14, 7, 5, 3), keys: list[str] | None = None, longest: int = LONGEST) -> Result:
     """Relative strength by Wilder's smoothing. A missing difference counts as none; without losses it is 100; the first N - 1 rows are NULL."""
-    s = Session(keys)
+    s = Session(keys, longest)
     step = s.difference(src)
     df = df.withColumns({"_up": F.when(step > 0, step).otherwise(0.0), "_down": F.when(step < 0, -step).otherwise(0.0)}).withColumn("_i", s.ordinal())
     for n in windows:
@@ -43,9 +43,10 @@ def rsi_simple(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (5,
     return df.drop("_up", "_down"), names
 
 
-def momentum(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (10, 5, 3), keys: list[str] | None = None) -> Result:
+def momentum(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (10, 5, 3), pad: bool = False, keys: list[str] | None = None) -> Result:
+    """Relative change over n rows; with pad, missing values repeat the last one before."""
     s = Session(keys)
-    return df.withColumns({f"momentum_{n}": s.change(src, n) for n in windows}), [f"momentum_{n}" for n in windows]
+    return df.withColumns({f"momentum_{n}": s.change(src, n, pad) for n in windows}), [f"momentum_{n}" for n in windows]
 
 
 def volume_ratio(df: DataFrame, src: str = "volume", windows: tuple[int, ...] = (15, 20, 30), keys: list[str] | None = None) -> Result:
@@ -53,18 +54,21 @@ def volume_ratio(df: DataFrame, src: str = "volume", windows: tuple[int, ...] =
     return df.withColumns({f"volume_ratio_{n}": div(src, s.rolling(src, n, F.avg)) for n in windows}), [f"volume_ratio_{n}" for n in windows]
 
 
-def macd(df: DataFrame, src: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, keys: list[str] | None = None) -> Result:
-    """Histogram: the difference of two smoothed series less its own smoothed series, which starts where the slow one is valid."""
-    s = Session(keys)
+def macd(df: DataFrame, src: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, keys: list[str] | None = None, longest: int = LONGEST) -> Result:
+    """Histogram: the difference of two smoothed series less its own smoothed series, which starts where the slow one has `slow` values."""
+    s = Session(keys, longest)
     df = smoothed(smoothed(df, s, "_fast", src, 2 / (fast + 1)), s, "_slow", src, 2 / (slow + 1))
-    df = df.withColumn("_line", F.col("_fast") - F.col("_slow")).withColumn("_i", s.ordinal())
-    df = smoothed(df, s, "_signal", "_line", 2 / (signal + 1), start=slow - 1)
-    return df.withColumn("macd", F.when(F.col("_i") >= slow + signal - 2, F.col("_line") - F.col("_signal"))).drop("_fast", "_slow", "_line", "_signal", "_i"), ["macd"]
+    df = df.withColumn("_line", F.when(F.count(src).over(s.so_far) >= slow, F.col("_fast") - F.col("_slow")))
+    df = smoothed(df, s, "_signal", "_line", 2 / (signal + 1))
+    return df.withColumn("macd", F.when(F.count("_line").over(s.so_far) >= signal, F.col("_line") - F.col("_signal"))).drop("_fast", "_slow", "_line", "_signal"), ["macd"]
 
 
-def price_ema(df: DataFrame, src: str = "close", spans: tuple[int, ...] = (15, 20, 30), keys: list[str] | None = None) -> Result:
-    s = Session(keys)
-    return df.withColumns({f"price_ema{n}": div(src, s.ewm_adjusted(src, n)) - 1 for n in spans}), [f"price_ema{n}" for n in spans]
+def price_ema(df: DataFrame, src: str = "close", spans: tuple[int, ...] = (15, 20, 30), keys: list[str] | None = None, longest: int = LONGEST) -> Result:
+    s = Session(keys, longest)
+    for n in spans:
+        df = ewm_adjusted(df, s, "_mean", src, n)
+        df = df.withColumn(f"price_ema{n}", div(src, "_mean") - 1).drop("_mean")
+    return df, [f"price_ema{n}" for n in spans]
 
 
 def stochastic(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (14, 20, 30), high: str | None = None, low: str | None = None, keys: list[str] | None = None) -> Result:
@@ -88,9 +92,9 @@ def bollinger(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (15,
     return df.withColumns(out), list(out)
 
 
-def atr(df: DataFrame, src: str = "close", window: int = 14, keys: list[str] | None = None) -> Result:
+def atr(df: DataFrame, src: str = "close", window: int = 14, keys: list[str] | None = None, longest: int = LONGEST) -> Result:
     """Average true range by Wilder's smoothing, seeded by the mean of the first N ranges, 0 before; and the same over the source."""
-    s = Session(keys)
+    s = Session(keys, longest)
     last = s.lag(src)
     df = df.withColumn("_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last))).withColumn("_i", s.ordinal())
     seed = F.avg(F.when(F.col("_i") < window, F.col("_range"))).over(s.so_far)
@@ -111,20 +115,20 @@ def candle(df: DataFrame) -> Result:
     return df.withColumn("body_ratio", div("body_size", "candle_range")), ["body_size", "candle_range", "body_ratio"]
 
 
-def bundle(df: DataFrame, src: str = "close", keys: list[str] | None = None) -> Result:
+def bundle(df: DataFrame, src: str = "close", keys: list[str] | None = None, longest: int = LONGEST) -> Result:
     """All families on one source; one Exchange serves them all."""
     names: list[str] = []
     for family in (rsi, momentum, macd, price_ema, stochastic, bollinger, atr, roc):
-        df, own = family(df, src, keys=keys)
+        df, own = family(df, src, keys=keys, **({"longest": longest} if family in (rsi, macd, price_ema, atr) else {}))
         names += own
     df, own = volume_ratio(df, keys=keys)
     return df, names + own
 
 
-def best(df: DataFrame, src: str = "close", keys: list[str] | None = None) -> Result:
+def best(df: DataFrame, src: str = "close", keys: list[str] | None = None, longest: int = LONGEST) -> Result:
     """The six that an evaluation leaves: rsi_7 and 14, macd, two Bollinger %B, and the range over the price."""
-    df, _ = rsi(df, src, (14, 7), keys)
-    df, _ = macd(df, src, keys=keys)
+    df, _ = rsi(df, src, (14, 7), keys, longest)
+    df, _ = macd(df, src, keys=keys, longest=longest)
     df, _ = bollinger(df, src, (20, 30), (2.0,), keys)
-    df, _ = atr(df, src, keys=keys)
+    df, _ = atr(df, src, keys=keys, longest=longest)
     return df.drop("atr"), ["rsi_14", "rsi_7", "macd", "bb_percent_20_20", "bb_percent_30_20", "atr_norm"]

@@ -72,3 +72,8 @@ def series_direction(df: DataFrame, price: str = "close", keys: list[str] | None
     before = Window.partitionBy(*s.by[:-1]).orderBy("session").rowsBetween(Window.unboundedPreceding, -1)
     carried = last.select(*s.by, F.last("_last", ignorenulls=True).over(before).alias("_carry"))
     return df.join(carried, s.by).withColumn("direction", F.coalesce(s.ffill(F.col("_sign")), "_carry")).drop("_sign", "_carry")
+
+
+def rows_between(df: DataFrame, first: int, last: int, keys: list[str] | None = None) -> DataFrame:
+    """Rows `first` to `last` (from 0, both included) of each session in order of time, with their number as `row`."""
+    return df.withColumn("row", Session(keys).ordinal()).filter(F.col("row").between(first, last))

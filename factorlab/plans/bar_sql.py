@@ -98,6 +98,21 @@ def macd() -> Family:
     return [two, line, signal, table], "macd_t", {"macd": "h"}
 
 
+def macd_of_gaps(gapped: str, table: str) -> str:
+    """macd of a close that can be missing, row by row: w is the weight that the last mean has at this row."""
+
+    def mean(x: str, n: str, alpha: str) -> dict[str, tuple[str, str]]:
+        then = f"CASE WHEN b.{x} IS NULL THEN p.{n} WHEN p.{n} IS NULL THEN b.{x} ELSE ({alpha} * b.{x} + p.w{n} * p.{n}) / ({alpha} + p.w{n}) END"
+        return {n: (f"b.{x}", then), f"w{n}": (f"1 - {alpha}", f"CASE WHEN b.{x} IS NULL THEN p.w{n} * (1 - {alpha}) ELSE 1 - {alpha} END")}
+
+    two = recursive("two", "src", mean("x", "f", "(2.0 / 13)") | mean("x", "s", "(2.0 / 27)"))
+    so_far = f"OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    line = f"line AS MATERIALIZED (SELECT symbol, session, ts, src.i, CASE WHEN count(x) {so_far} >= 26 THEN f - s END AS m FROM src JOIN two USING (symbol, session, ts))"
+    signal = recursive("signal", "line", mean("m", "g", "(2.0 / 10)"))
+    value = f"CASE WHEN count(m) {so_far} >= 9 THEN m - g END"
+    return f"{with_('D', gapped, f'src AS MATERIALIZED (SELECT *, close AS x FROM {table})', two, line, signal)}\nSELECT {KEYS}, {rounded({'macd': value}, 4)} FROM line JOIN signal USING (symbol, session, ts)"
+
+
 def price_ema(spans: tuple[int, ...]) -> Family:
     columns = {}
     for n in spans:

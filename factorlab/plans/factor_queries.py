@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorlab.functions.windows import Session
 from factorlab.operators import evaluate, factors, indicators, select, series, signals, targets
 from factorlab.sources.bars import bars_daily, bars_intraday, bars_symbol
 
@@ -92,6 +93,19 @@ for _name, (_make, _family) in _FAMILIES.items():
 for _name, _make, _family in (("ind_rsi_wilder_symbols", indicators.rsi, sql.rsi((14, 7, 5, 3))), ("ind_bollinger_symbols", indicators.bollinger, sql.bollinger((15, 20, 30), (1.5, 2.0, 2.5)))):
     simple(_name, "S", lambda b, f=_make: f(b)[0], list(_family[2]), sql.indicator_sql("S", "close", _family))
 
+_GAPPED = f"gapped AS (SELECT * EXCLUDE (close), CASE WHEN i % 11 NOT IN (4, 5) THEN close END AS close FROM bars)"
+
+
+def _gapped(b: DataFrame) -> DataFrame:
+    """Bars of which two closes in eleven are missing."""
+    return b.withColumn("close", F.when(~F.pmod(Session().ordinal(), F.lit(11)).isin(4, 5), F.col("close")))
+
+
+simple("ind_macd_gaps", "D", lambda b: indicators.macd(_gapped(b))[0], ["macd"], sql.macd_of_gaps(_GAPPED, "gapped"), 4)
+_PADDED = f"{with_('D', _GAPPED, f'padded AS (SELECT *, last_value(close IGNORE NULLS) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS x FROM gapped)')}"
+simple("ind_momentum_padded", "D", lambda b: indicators.momentum(_gapped(b), windows=(5,), pad=True)[0], ["momentum_5"], f"{_PADDED}\nSELECT {KEYS}, {rounded({'momentum_5': lag('x', 5).join(['x / nullif(', ', 0) - 1'])})} FROM padded")
+simple("bars_slice", "D", lambda b: series.rows_between(b, 25, 59), ["close"], f"{with_('D')}\nSELECT {KEYS}, {rounded({'close': 'close'}, 4)} FROM bars WHERE i BETWEEN 25 AND 59", 4)
+
 _UP = f"greatest(close - {lag('close')}, 0.0)"
 _DOWN = f"greatest({lag('close')} - close, 0.0)"
 _SMA = {}
@@ -377,6 +391,12 @@ def ic_by_minute(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _minutes(spark, sf_dir).select("factor", "minute_index", "n", (F.round("ic", 6) + 0.0).alias("ic"))
 
 
+@query("ic_minute_wide", f"{_MINUTE}\nSELECT minute_index, {rounded({f: f"max(CASE WHEN factor = '{f}' THEN ic END)" for f in _F5})} FROM minutes WHERE n > 0 GROUP BY minute_index")
+def ic_minute_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wide = evaluate.minutes_wide(_minutes(spark, sf_dir), _F5)
+    return wide.select("minute_index", *[(F.round(f, 6) + 0.0).alias(f) for f in _F5])
+
+
 def _extremes_sql(mode: str) -> str:
     order = "ic ASC" if mode == "worst" else "ic DESC"
     clock = "strftime(TIMESTAMP '2000-01-01 08:00:00' + to_minutes(CAST({} AS BIGINT)), '%H:%M')"
@@ -475,8 +495,24 @@ def corr_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pairs(select.strongest(_spearman_pairs(spark, sf_dir)))
 
 
-@query("select_greedy")
+# one row for each factor, in order of score; the names selected so far are carried along
+_GREEDY = f"""{_IND_LONG}, pairs AS MATERIALIZED ({_pairs_sql('all_t', _IND_NAMES)}),
+ways AS (SELECT factor_1, factor_2, round(abs(corr), 9) AS c FROM pairs WHERE corr IS NOT NULL UNION ALL SELECT factor_2, factor_1, round(abs(corr), 9) FROM pairs WHERE corr IS NOT NULL),
+near AS (SELECT factor_1 AS factor, list({{'f': factor_2, 'c': c}}) AS near FROM ways GROUP BY factor_1),
+scored AS (SELECT factor, round(abs(ic_mean) / nullif(ic_std, 0), 9) AS ic_score FROM ({_SUMMARY})),
+in_turn AS MATERIALIZED (SELECT s.factor, ic_score, near, row_number() OVER (ORDER BY ic_score DESC, s.factor) AS k FROM scored s LEFT JOIN near USING (factor) WHERE ic_score IS NOT NULL),
+turns AS (SELECT CAST(0 AS BIGINT) AS k, CAST('' AS VARCHAR) AS factor, CAST(0 AS DOUBLE) AS ic_score, CAST(0 AS DOUBLE) AS max_corr, FALSE AS selected, CAST([] AS VARCHAR[]) AS chosen
+  UNION ALL SELECT k, factor, ic_score, most, taken, CASE WHEN taken THEN list_append(chosen, factor) ELSE chosen END FROM (
+    SELECT *, (ic_score >= 0.4 AND most < 0.925) OR (ic_score >= 0.35 AND most < 0.7) AS taken FROM (
+      SELECT r.k, r.factor, r.ic_score, t.chosen, coalesce(list_max([x.c FOR x IN r.near IF list_contains(t.chosen, x.f)]), 0.0) AS most
+      FROM turns t JOIN in_turn r ON r.k = t.k + 1)))
+SELECT factor, round(ic_score, 6) + 0.0 AS ic_score, round(max_corr, 6) + 0.0 AS max_corr, selected FROM turns WHERE k > 0"""
+
+
+@query("select_greedy", _GREEDY)
 def select_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A sequential decision over a table of factors: tests/ holds it against a plain version."""
-    scores = evaluate.ic_score(evaluate.ic_summary(_indicator_days(spark, sf_dir)))
-    return select.select_greedy(scores, select.pearson_pairs(_indicator_bars(spark, sf_dir), _IND_NAMES))
+    """Scores and correlations that differ in the last digits only count as equal."""
+    scores = evaluate.ic_score(evaluate.ic_summary(_indicator_days(spark, sf_dir))).withColumn("ic_score", F.round("ic_score", 9))
+    pairs = select.pearson_pairs(_indicator_bars(spark, sf_dir), _IND_NAMES).withColumn("corr", F.round("corr", 9))
+    found = select.select_greedy(scores, pairs)
+    return found.select("factor", *[(F.round(c, 6) + 0.0).alias(c) for c in ("ic_score", "max_corr")], "selected")

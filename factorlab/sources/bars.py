@@ -33,8 +33,8 @@ def read_bars(spark: SparkSession, path: str, time: str = "ts", symbol: str | No
 
 
 def write_features(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """A feature table in Parquet, a folder for each session, so that readers of some sessions skip the others."""
-    df.repartition("session").write.mode(mode).partitionBy("session").parquet(path)
+    """A feature table in Parquet, a folder for each session, so that readers of some sessions skip the others; a folder has a file for each task that has some of its symbols."""
+    df.repartition("session", "symbol").write.mode(mode).partitionBy("session").parquet(path)
 
 
 def _edge(value: Column, *order: Column) -> tuple[Column, Column]:

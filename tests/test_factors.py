@@ -6,6 +6,7 @@ import datetime as dt
 import math
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
@@ -107,11 +108,29 @@ def test_smoothing_in_blocks_is_the_recursion(spark):
     df = bars(spark, closes)
     want = pd.Series(closes).ewm(alpha=0.9, adjust=False).mean().tolist()
     assert closes and 900 * -math.log(0.1) > 600
-    close_to(column(smoothed(df, Session(), "y", "close", 0.9, longest=900), "y"), want)
+    close_to(column(smoothed(df, Session(), "y", "close", 0.9), "y"), want)
     late = pd.Series(closes[25:]).ewm(alpha=0.9, adjust=False).mean().tolist()
-    close_to(column(smoothed(df, Session(), "y", "close", 0.9, start=25, longest=900), "y"), [None] * 25 + late)
-    with pytest.raises(ValueError, match="too long"):
-        Session().ewm_adjusted("close", 3, longest=2000)
+    close_to(column(smoothed(df, Session(), "y", "close", 0.9, start=25), "y"), [None] * 25 + late)
+
+
+@pytest.mark.parametrize("n", [200, 3000])
+def test_smoothing_of_gaps_and_long_sessions(spark, n):
+    """Missing closes age the mean, as in pandas; sessions longer than the default are named and then taken in blocks."""
+    r = np.random.default_rng(n)
+    closes = [None if i in (0, 60, 61) or r.random() < 0.1 else x for i, x in enumerate(walk(n))]
+    b = bars(spark, closes).withColumn("session", F.lit(DAY.date()))
+    c = pd.Series(closes, dtype=float)
+    for alpha in (0.05, 1 / 3, 0.9):
+        close_to(column(smoothed(b, Session(longest=n), "y", "close", alpha), "y"), c.ewm(alpha=alpha, adjust=False).mean().tolist())
+    line = c.ewm(span=12, adjust=False, min_periods=12).mean() - c.ewm(span=26, adjust=False, min_periods=26).mean()
+    close_to(column(indicators.macd(b, longest=n)[0], "macd"), (line - line.ewm(span=9, adjust=False, min_periods=9).mean()).tolist())
+    close_to(column(indicators.price_ema(b, spans=(3, 15), longest=n)[0], "price_ema3"), (c / c.ewm(span=3).mean() - 1).tolist())
+    step = c.diff()
+    up, down = step.where(step > 0, 0.0).ewm(alpha=1 / 3, adjust=False, min_periods=3).mean(), (-step.where(step < 0, 0.0)).ewm(alpha=1 / 3, adjust=False, min_periods=3).mean()
+    close_to(column(indicators.rsi(b, windows=(3,), longest=n)[0], "rsi_3"), (100 - 100 / (1 + up / down)).where(down != 0, 100.0).where(up.notna()).tolist())
+    if n > 1440:
+        with pytest.raises(Exception, match="longest"):
+            indicators.price_ema(b)[0].collect()
 
 
 def test_flat_session(spark):

@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,13 @@ def _parquet(df: DataFrame, path: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def store_of(path: str) -> tuple[pa.fs.FileSystem, str]:
+    """The file system and the folder of a path in the shared folder, for files that are not Spark's."""
+    if path.startswith("file:"):
+        path = "file:///" + path.removeprefix("file:").lstrip("/")
+    return pa.fs.FileSystem.from_uri(path if "://" in path else f"file://{path}")
+
+
 class Scratch:
     """Parquet tables in the shared folder that are deleted when the work that reads them is done, or when one of them is done with."""
 

@@ -18,8 +18,37 @@ from .url_filter import judge_urls
 from .warc import archive_pages
 
 QUERIES = {}
-#: Full-table digests of these methods are outside SQL; tests/llm holds each against brute force instead.
-ORACLES: dict[str, str] = {}
+#: SQL over whole tables where SQL can say all columns; tests/llm holds the other methods against brute force instead.
+ORACLES: dict[str, str] = {
+    # every window of 400 bytes, by its hash; runs of windows that start twice; what is left between the runs
+    "op3_suffix_dedup": """
+WITH t AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+parts AS MATERIALIZED (SELECT doc_id, n, p, substr(x, 512 * p + 1, 1310) AS y FROM (SELECT doc_id, n, x, unnest(range(0, (n - 144) // 256)) AS p FROM t WHERE n >= 400)),
+windows AS MATERIALIZED (SELECT doc_id, 256 * p + j AS i, md5_number(substr(y, 2 * j + 1, 800)) AS w FROM (SELECT doc_id, p, y, unnest(range(0, least(256, n - 399 - 256 * p))) AS j FROM parts)),
+again AS (SELECT doc_id, i FROM windows JOIN (SELECT w FROM windows GROUP BY w HAVING count(*) > 1) USING (w)),
+marked AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM again),
+placed AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM marked),
+runs AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM placed GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS since FROM runs),
+cut AS (SELECT g.doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last, string_agg(substr(x, 2 * since + 1, 2 * (a - since)), '' ORDER BY a) AS kept FROM gaps g JOIN t USING (doc_id) GROUP BY g.doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(spans, 0) AS BIGINT) AS n_spans,
+  sha256(unhex(CASE WHEN removed IS NULL THEN x ELSE kept || substr(x, 2 * last + 1) END)) AS kept_sha256
+FROM t LEFT JOIN cut USING (doc_id)""",
+    # every pair of documents that share a shingle, and all that can be reached from a document
+    "op5_jaccard_join": r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct([array_to_string(w[i : i + 4], ' ') FOR i IN range(1, len(w) - 3)]) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+e AS MATERIALIZED (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+pairs AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))),
+reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id, coalesce(links, 0) AS n_links
+FROM s LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS links FROM pairs GROUP BY a) USING (doc_id)""",
+    "op9_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+kept AS (SELECT d, max(page_id) AS of FROM p WHERE n >= 1000 GROUP BY d)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id < of THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < of THEN of END AS refers_to
+FROM p LEFT JOIN kept USING (d)""",
+}
 
 
 def registered(f):
@@ -59,7 +88,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "archive", "offset")
+    return archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 @registered

@@ -13,13 +13,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs
 import tiktoken
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir, sliced
+from .common import Scratch, checkpointed, shared_dir, sliced, store_of, written
 
 #: Ids in a block that a task scans at once.
 BLOCK = 1 << 20
@@ -40,7 +39,7 @@ def write_token_files(docs: DataFrame, path: str, ranks_file: str, pattern: str,
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = _encoding(ranks_file, pattern)
-        store, folder = pa.fs.FileSystem.from_uri(path)
+        store, folder = store_of(path)
         name = f"{TaskContext.get().partitionId():06d}.tokens"
         part = f"{folder}/{name}.{uuid.uuid4().hex}"
         store.create_dir(folder, recursive=True)
@@ -72,7 +71,7 @@ def scan_blocks(blocks: DataFrame, path: str, end: int) -> DataFrame:
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, folder = pa.fs.FileSystem.from_uri(path)
+        store, folder = store_of(path)
         for batch in batches:
             for row in batch.to_pylist():
                 with store.open_input_file(f"{folder}/{row['file']}") as f:
@@ -116,10 +115,10 @@ def count_tokens(docs: DataFrame, ranks_file: str, pattern: str, end: int, block
     """
     spark = docs.sparkSession
     path = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    path = path if "://" in path or path.startswith("file:") else f"file://{path}"
-    path = path.replace("file:/", "file:///", 1) if path.startswith("file:/") and not path.startswith("file://") else path
-    order = checkpointed(write_token_files(docs, path, ranks_file, pattern, end))
-    if not order.limit(1).count():
-        return order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "file", "ordinal")
-    counts = stitched(scan_blocks(blocks_of(spark, path, block), path, end))
-    return order.join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal")
+    with Scratch(spark) as scratch:
+        order = scratch.written(write_token_files(docs, path, ranks_file, pattern, end))
+        if not order.limit(1).count():
+            return checkpointed(order.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), "file", "ordinal"))
+        counts = stitched(scan_blocks(blocks_of(spark, path, block), path, end))
+        # both sides have a row for each document: neither is ever small enough to be broadcast
+        return written(order.hint("merge").join(counts, ["file", "ordinal"]).select("doc_id", "n_tokens", "file", "ordinal"))

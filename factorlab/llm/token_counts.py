@@ -22,6 +22,8 @@ from .common import Scratch, checkpointed, shared_dir, sliced, store_of, written
 
 #: Ids in a block that a task scans at once.
 BLOCK = 1 << 20
+#: Blocks that a task scans, about.
+TASK_BLOCKS = 4
 WIDTH = 2
 
 
@@ -91,7 +93,8 @@ def scan_blocks(blocks: DataFrame, path: str, end: int) -> DataFrame:
                     ["file", "block", "ids", "head", "tail", "inner"],
                 )
 
-    return blocks.repartition("file", "block").mapInArrow(each, "file string, block long, ids long, head long, tail long, inner array<long>")
+    # tasks by the number of blocks: by their few bytes of names Spark would put them all into one
+    return blocks.repartition(max(1, -(-blocks.count() // TASK_BLOCKS)), "file", "block").mapInArrow(each, "file string, block long, ids long, head long, tail long, inner array<long>")
 
 
 def stitched(scanned: DataFrame) -> DataFrame:

@@ -253,7 +253,8 @@ def read_archives(path: str, archives: DataFrame, runs: str, scratch: Scratch) -
                     found = [_capture(row["archive"], at, headers, block) for at, raw in members(stream) for _, headers, block in parse(raw)]
                 yield from _put(runs, f"{row['archive']}.run", row["task"], row["k"], most, sorted(found, key=_order))
 
-    return scratch.written(archives.repartition("archive").mapInArrow(each, INDEX))
+    # a task for each archive: without a number Spark would put so few bytes of names into one task
+    return scratch.written(archives.repartition(max(1, archives.count()), "archive").mapInArrow(each, INDEX))
 
 
 class LoserTree:
@@ -307,7 +308,7 @@ def _merged_runs(index: DataFrame, runs: str, level: int, scratch: Scratch) -> D
                     tree = LoserTree([_get(runs, name, held) for name in row["runs"]])
                     yield from _put(runs, f"{level}-{row['task']}-{row['k']}.run", row["task"], row["k"], most, (x[-1] for x in tree))
 
-    return scratch.written(groups.repartition("task", "k").mapInArrow(each, INDEX))
+    return scratch.written(groups.repartition(groups.count(), "task", "k").mapInArrow(each, INDEX))
 
 
 _HISTORY = pa.schema([pa.field("range", pa.int64()), *_CAPTURE, pa.field("place", pa.int64()), pa.field("in_range", pa.int64())])

@@ -303,13 +303,14 @@ def link_components(docs: DataFrame) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as scratch:
         table = scratch.written(facts(docs))
-        own, meetings = table.filter("shingle is null").select("doc_id", "h", "cls", "n"), table.filter("shingle is not null")
+        own, meetings = scratch.written(table.filter("shingle is null").select("doc_id", "h", "cls", "n")), table.filter("shingle is not null")
         classes = scratch.written(own.groupBy("cls", "n").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies")))
 
         # classes that share enough, and their link shingles
         m = _links_at(F.col("n"))
         by_class = meetings.groupBy("cls", "n").agg(F.sort_array(F.collect_list(F.struct("df", "shingle"))).alias("_all")).filter(F.size("_all") >= m)
         link = scratch.written(by_class.select("cls", "n", F.explode(F.slice("_all", F.lit(1), (F.size("_all") - m + 1).cast("int"))).alias("_one")).select("cls", "n", "_one.shingle"))
+        scratch.drop(table)
         blocks = scratch.written(_blocks(link, scratch))
         held = classes.join(blocks.select("cls").distinct(), "cls", "left_semi")
         sets = scratch.written(_sets(docs, held.select("one.*")).join(held.select("cls", "copies"), "cls"))

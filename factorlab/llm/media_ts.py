@@ -150,14 +150,19 @@ def demux(media: bytes, known: dict[bytes, bytes] | None = None) -> Read:
     if (rows[:, 0] != SYNC).any():
         raise ValueError("a packet without its sync byte")
     pids = (rows[:, 1].astype(np.int32) & 31) << 8 | rows[:, 2]
-    programs = _tables(rows[pids == PAT_PID], 0, known)
-    pmt_pid = next((programs[i + 2] & 31) << 8 | programs[i + 3] for i in range(0, len(programs), 4) if programs[i] | programs[i + 1])
-    streams = _tables(rows[pids == pmt_pid], 2, known)
-    at = 4 + ((streams[2] & 15) << 8 | streams[3])
-    while streams[at] != PRIVATE_DATA_TYPE:
-        at += 5 + ((streams[at + 3] & 15) << 8 | streams[at + 4])
-    pid = (streams[at + 1] & 31) << 8 | streams[at + 2]
+    try:
+        programs = _tables(rows[pids == PAT_PID], 0, known)
+        pmt_pid = next((programs[i + 2] & 31) << 8 | programs[i + 3] for i in range(0, len(programs), 4) if programs[i] | programs[i + 1])
+        streams = _tables(rows[pids == pmt_pid], 2, known)
+        at = 4 + ((streams[2] & 15) << 8 | streams[3])
+        while streams[at] != PRIVATE_DATA_TYPE:
+            at += 5 + ((streams[at + 3] & 15) << 8 | streams[at + 4])
+        pid = (streams[at + 1] & 31) << 8 | streams[at + 2]
+    except (IndexError, StopIteration):
+        raise ValueError("no private stream in the program tables") from None
     own = rows[pids == pid]
+    if not len(own) or not own[0, 1] & 0x40:
+        raise ValueError("the stream does not begin with a PES packet")
     counters = own[:, 3] & 15
     errors = int(((counters[1:] - counters[:-1]) % 16 != 1).sum())
     has_field, starts = (own[:, 3] & 0x20) > 0, (own[:, 1] & 0x40) > 0
@@ -222,7 +227,7 @@ def store(docs: DataFrame) -> DataFrame:
 def load(stored: DataFrame) -> DataFrame:
     """Reads the column `media` back: digests of payload and stream, time stamps, random-access points and features.
 
-    `feature` has the counts of packets, PES packets, random-access points and continuity errors, the duration in ticks, and the
+    A null or damaged stream is an error; an empty table gives no rows. `feature` has the counts of packets, PES packets, random-access points and continuity errors, the duration in ticks, and the
     mean and the spread of the samples. Equal payloads have equal features.
     """
 

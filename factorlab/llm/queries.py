@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import read
+from .common import read, written
 from .fm_classifier import score_quality
 from .jaccard_join import link_components
 from .media_ts import load, store
@@ -68,7 +68,8 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load(store(read(spark, sf_dir, "documents")))
+    # the streams are a table in the shared folder, and what is computed comes from what is read back of it
+    return load(written(store(read(spark, sf_dir, "documents"))))
 
 
 @registered

@@ -214,14 +214,17 @@ def _links_at(n: Column) -> Column:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls and its ordered shingles, for the documents (doc_id, h) in wanted; a doc_id can be null."""
+    """cls and its ordered shingles, for the documents (doc_id, h) in wanted; a doc_id can be null.
+
+    Both sides grow with the documents, so the join is by merge at every size.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text"):
             sets = [shingles(w) for w in batch_words(batch.column("text").to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array([set_id(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], ["cls", "shingles"])
 
-    wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h"))
+    wanted = wanted.select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).hint("merge")
     theirs = docs.select("doc_id", "text").join(wanted, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")), "left_semi")
     return theirs.mapInArrow(each, "cls long, shingles binary").dropDuplicates(["cls"])
 
@@ -315,7 +318,7 @@ def link_components(docs: DataFrame) -> DataFrame:
         held = classes.join(blocks.select("cls").distinct(), "cls", "left_semi")
         sets = scratch.written(_sets(docs, held.select("one.*")).join(held.select("cls", "copies"), "cls"))
         scratch.drop(link)
-        found = scratch.written(blocks.join(sets, "cls").groupBy("block").applyInArrow(_block, LINKS))
+        found = scratch.written(blocks.hint("merge").join(sets, "cls").groupBy("block").applyInArrow(_block, LINKS))
         scratch.drop(sets, blocks)
         comps = components(found.filter("b is not null").select("a", "b"), scratch).withColumnRenamed("id", "cls")
         links = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("links").alias("links"))

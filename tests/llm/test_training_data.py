@@ -631,6 +631,11 @@ def test_transport_stream():
     damaged[12] ^= 1
     with pytest.raises(ValueError, match="table"):
         media_ts.demux(bytes(damaged))
+    with pytest.raises(ValueError, match="no private stream"):
+        media_ts.demux(media_ts.mux(b"x")[188 * 2 :])
+    whole = media_ts.mux(bytes(400))
+    with pytest.raises(ValueError, match="begin"):
+        media_ts.demux(whole[: 188 * 2] + whole[188 * 3 :])
 
 
 # -- the pipeline

@@ -23,7 +23,9 @@ def corr_safe(x: Column | str, y: Column | str) -> Column:
     x, y = col(x), col(y)
     both = x.isNotNull() & y.isNotNull()
     x, y = F.when(both, x), F.when(both, y)
-    return F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0)))
+    # the deviation of a constant need not be 0 once parts of it have been merged
+    varies = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(varies, F.try_divide(F.covar_pop(x, y), F.nullif(F.stddev_pop(x) * F.stddev_pop(y), F.lit(0.0))))
 
 
 def pair_count(x: Column | str, y: Column | str) -> Column:

@@ -85,6 +85,13 @@ def reversion_vol_momentum_factor(df: DataFrame, window: int = 30, price: str =
     return rev_mom_vol_z(df, (window,), price, volume, keys).withColumnRenamed(f"rev_mom_vol_z_{window}", "reversion_vol_momentum_factor")
 
 
+def mom_vol_factor(df: DataFrame, window: int = 30, price: str = "close", volume: str = "volume", keys: list[str] | None = None) -> DataFrame:
+    """Reversed momentum times relative volume with all that it is made of: momentum_N, vol_avg_N, vol_ratio_N, mom_vol_N and mom_vol_z_N, the last two with the sign turned."""
+    n = window
+    df = mom_vol_z(df, (n,), price, volume, 1, keys).withColumn(f"momentum_{n}", _momentum(Session(keys), price, n))
+    return df.withColumns({c: -F.col(c) for c in (f"mom_vol_{n}", f"mom_vol_z_{n}")})
+
+
 def time_of_day(c: str = "ts") -> Column:
     return F.date_format(c, "HH:mm:ss")
 

@@ -9,14 +9,20 @@ from pyspark.sql import functions as F
 
 from factorlab.functions.safe import corr_safe
 
+#: A value that more than one in HOT of a column's rows have is broadcast with its rank.
+HOT = 1000
+
 
 def pearson_pairs(df: DataFrame, columns: list[str], both_ways: bool = False) -> DataFrame:
-    """factor_1, factor_2, corr of all pairs, from the rows that have both. Pairs are laid out row by row and summed before the shuffle."""
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
-    names = F.array(*[F.struct(F.lit(a).alias("factor_1"), F.lit(b).alias("factor_2")) for a, b in pairs])
-    each = df.select(F.posexplode(F.array(*[F.struct(F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in pairs])).alias("_k", "_p"))
-    sums = each.groupBy("_k").agg(corr_safe("_p.x", "_p.y").alias("corr"))
-    out = sums.select(F.element_at(names, F.col("_k") + 1).alias("_n"), "corr").select("_n.*", "corr")
+    """factor_1, factor_2, corr of all pairs, from the rows that have both. A row is laid out once for each column, against all columns after it, and
+    summed before the shuffle."""
+    last = range(1, len(columns))
+    names = F.array(*[F.lit(c) for c in columns])
+    value = [F.col(c).cast("double") for c in columns]
+    each = df.select(F.posexplode(F.array(*value[:-1])).alias("_k", "_x"), *[value[j].alias(f"_{j}") for j in last])
+    sums = each.groupBy("_k").agg(*[corr_safe(F.when(F.col("_k") < j, F.col("_x")), f"_{j}").alias(f"_c{j}") for j in last])
+    pairs = sums.select("_k", F.posexplode(F.array(*[f"_c{j}" for j in last])).alias("_j", "corr")).filter("_j >= _k")
+    out = pairs.select(F.element_at(names, F.col("_k") + 1).alias("factor_1"), F.element_at(names, F.col("_j") + 2).alias("factor_2"), "corr")
     return out.union(out.select("factor_2", "factor_1", "corr")) if both_ways else out
 
 
@@ -36,7 +42,7 @@ def global_ranks(df: DataFrame, columns: list[str], row: list[str]) -> DataFrame
     """df's `row` columns and each column's average rank over the whole table, for rows that have all columns; row names a row.
 
     No task holds a column: values are counted, dealt out by ranges of (column, value), and a range's ranks begin where the counts of
-    the ranges before it end.
+    the ranges before it end. A value that a large share of rows has isn't joined in one task.
     """
     whole = df.select(*row, *columns).na.drop("any", subset=columns)
     long = whole.select(*row, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_v")).select(*row, "_v.*")
@@ -46,15 +52,22 @@ def global_ranks(df: DataFrame, columns: list[str], row: list[str]) -> DataFrame
     before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("column", "range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("column", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranks = counts.join(starts, ["column", "range"]).select("column", "value", (F.col("_start") + F.sum("n").over(within) - (F.col("n") - 1) / 2.0).alias("rank"))
-    placed = long.join(ranks, ["column", "value"])
+    ranks = counts.join(starts, ["column", "range"]).select("column", "value", "n", (F.col("_start") + F.sum("n").over(within) - (F.col("n") - 1) / 2.0).alias("rank"))
+    # values that many rows have are fewer than HOT a column and are broadcast; their rows are spread over the join that finds the rest
+    rows = sizes.groupBy("column").agg(F.sum("_size").alias("_rows"))
+    hot = ranks.join(F.broadcast(rows), "column").filter(F.col("n") * HOT > F.col("_rows")).select("column", "value", F.col("rank").alias("_hot_rank"))
+    spread = F.when(F.col("_hot_rank").isNotNull(), 1 + F.pmod(F.xxhash64(*row), F.lit(HOT))).otherwise(F.lit(0).cast("long"))
+    placed = long.join(F.broadcast(hot), ["column", "value"], "left").withColumn("_spread", spread)
+    placed = placed.join(ranks.withColumn("_spread", F.lit(0).cast("long")), ["column", "value", "_spread"], "left").withColumn("rank", F.coalesce("_hot_rank", "rank"))
     return placed.groupBy(*row).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns])
 
 
 def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the checkpoint folder that the session names, or where none is set, as in tests, in one of its own."""
+    """Cuts lineage in the checkpoint folder that the session names, or where none is set and the master is local, in one of its own."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="factorlab-"))
     return df.checkpoint()
 

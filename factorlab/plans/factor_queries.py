@@ -179,6 +179,13 @@ simple(
     two_steps("D", _V, {k: v for n in H for k, v in ((f"vol_avg_{n}", roll("avg", "volume", n)), (f"vol_ratio_{n}", f"v{n}"), (f"mom_vol_{n}", f"mv{n}"), (f"mom_vol_z_{n}", zscore(f"mv{n}")))}),
 )
 simple("f_rev_mom_vol_z", "D", factors.rev_mom_vol_z, [f"rev_mom_vol_z_{n}" for n in H], two_steps("D", _V, {f"rev_mom_vol_z_{n}": f"-{zscore(f'mv{n}')}" for n in H}))
+simple(
+    "f_mom_vol_factor",
+    "S",
+    factors.mom_vol_factor,
+    ["momentum_30", "vol_avg_30", "vol_ratio_30", "mom_vol_30", "mom_vol_z_30"],
+    two_steps("S", _M | _V, {"momentum_30": "m30", "vol_avg_30": roll("avg", "volume", 30), "vol_ratio_30": "v30", "mom_vol_30": "-mv30", "mom_vol_z_30": f"-{zscore('mv30')}"}),
+)
 simple("f_reversion_vol_momentum", "S", factors.reversion_vol_momentum_factor, ["reversion_vol_momentum_factor"], two_steps("S", _V, {"reversion_vol_momentum_factor": f"-{zscore('mv30')}"}))
 
 _OPEN = "strftime(ts, '%H:%M:%S') BETWEEN '08:00:00' AND '09:30:00'"

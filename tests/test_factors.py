@@ -300,3 +300,20 @@ def test_no_bar_table_in_one_task(spark):
     assert "SinglePartition" not in plan and plan.count("Exchange hashpartitioning") == 1
     plan = series.series_momentum(b, chunk=100)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+@pytest.mark.parametrize("share", [1000, 4])
+def test_ranks_and_correlations_with_values_that_most_rows_have(spark, monkeypatch, share):
+    """Ranks of broadcast and of joined values, and correlations over rows with gaps and of constants, against pandas."""
+    monkeypatch.setattr(select, "HOT", share)
+    r = random.Random(2)
+    table = [(k, r.choice([0.0, 0.0, 0.0, r.random(), 1.5]), None if k % 17 == 0 else float(r.randrange(40)), r.gauss(0, 1), 7.0) for k in range(300)]
+    df = spark.createDataFrame(table, "k long, a double, b double, c double, d double").repartition(3)
+    frame = pd.DataFrame(table, columns=["k", "a", "b", "c", "d"]).dropna()
+    want = {int(k): row for k, *row in frame.assign(**{c: frame[c].rank() for c in "abc"})[["k", "a", "b", "c"]].itertuples(index=False)}
+    assert {x["k"]: [x["a"], x["b"], x["c"]] for x in select.global_ranks(df, ["a", "b", "c"], ["k"]).collect()} == want
+    whole = pd.DataFrame(table, columns=["k", "a", "b", "c", "d"])
+    got = {(x["factor_1"], x["factor_2"]): x["corr"] for x in select.pearson_pairs(df, ["a", "b", "c", "d"]).collect()}
+    assert set(got) == {(x, y) for i, x in enumerate("abcd") for y in "abcd"[i + 1 :]}
+    for (x, y), value in got.items():
+        assert value is None if y == "d" else value == pytest.approx(whole[x].corr(whole[y]))

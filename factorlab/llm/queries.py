@@ -6,16 +6,20 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import read, written
+from .dialog_repair import repair_conversations
 from .fm_classifier import score_quality
 from .jaccard_join import link_components
 from .media_ts import load, store
 from .mixing import mix_sources
+from .oracle_sql import codes_sql, repair_sql
 from .quality_rules import judge
 from .sentencepiece_codec import encode_decode
 from .suffix_dedup import removal_digest
 from .token_counts import count_tokens
 from .url_filter import judge_urls
+from .vector_codes import compress_vectors
 from .warc import archive_pages
+from .word_bpe import encode_words
 
 QUERIES = {}
 #: SQL over whole tables where SQL can say all columns; tests/llm holds the other methods against brute force instead.
@@ -48,6 +52,8 @@ WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(c
 kept AS (SELECT d, max(page_id) AS of FROM p WHERE n >= 1000 GROUP BY d)
 SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id < of THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < of THEN of END AS refers_to
 FROM p LEFT JOIN kept USING (d)""",
+    "op11_dialog_repair": repair_sql(),
+    "op13_vector_codes": codes_sql(),
 }
 
 
@@ -105,3 +111,18 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @registered
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, 50256)
+
+
+@registered
+def op11_dialog_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(read(spark, sf_dir, "conversations"))
+
+
+@registered
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_words(read(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@registered
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compress_vectors(read(spark, sf_dir, "embeddings"))

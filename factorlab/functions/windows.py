@@ -2,24 +2,16 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from .safe import col, div
 
-#: Bars that a session has at most, unless a caller says otherwise: the minutes of a day.
-LONGEST = 1440
-#: exp() of this is still far from the largest double.
-RANGE = 600.0
-
 
 class Session:
     """The windows of sessions: whole, in order of time, the last n rows, and all rows so far."""
 
-    def __init__(self, keys: list[str] | None = None, longest: int = LONGEST) -> None:
-        self.longest = longest
+    def __init__(self, keys: list[str] | None = None) -> None:
         self.by = [*(["symbol"] if keys is None else keys), "session"]
         self.whole: WindowSpec = Window.partitionBy(*self.by)
         self.order: WindowSpec = self.whole.orderBy("ts")
@@ -57,64 +49,3 @@ class Session:
 
     def ffill(self, c: Column) -> Column:
         return F.last(c, ignorenulls=True).over(self.so_far)
-
-
-# -- exponential smoothing, in closed form over the rows so far: powers of the decay stand for the recursion
-
-
-def _decayed(df: DataFrame, session: Session, name: str, value: Column, place: str, rate: float, lost: Column | None = None) -> DataFrame:
-    """Adds the sum over the rows so far of value[j] exp(level[j] - level[i]), with level = rate * place + lost, which never falls.
-
-    One windowed sum does where no session can have powers that leave the range of doubles; a session of more than `longest` rows
-    is an error then. Else rows are taken in blocks of places, and a block's last sum goes on into the next one.
-    """
-    lost = F.lit(0.0) if lost is None else lost
-    if session.longest * rate <= RANGE:
-        up = F.pow(F.lit(math.exp(rate)), F.col(place)) * F.exp(lost)
-        down = F.pow(F.lit(math.exp(-rate)), F.col(place)) * F.exp(-lost)
-        long = F.raise_error(F.lit(f"a session has more than {session.longest} rows; say so by `longest`"))
-        return df.withColumn(name, F.when(F.col(place) >= session.longest, long).otherwise(F.coalesce(F.sum(value * up).over(session.so_far), F.lit(0.0)) * down))
-    size = max(1, int(RANGE / rate))
-    b, j, base, own, end = (f"_{name}_{x}" for x in ("b", "j", "base", "own", "end"))
-    df = df.withColumns({b: F.floor(F.col(place) / size), j: rate * F.pmod(F.col(place), F.lit(size)) + lost, f"_{name}_lost": lost})
-    within = Window.partitionBy(*session.by, b).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    df = df.withColumn(base, F.first(f"_{name}_lost").over(within))
-    df = df.withColumn(own, F.coalesce(F.sum(value * F.exp(F.col(j) - F.col(base))).over(within), F.lit(0.0)) * F.exp(F.col(base) - F.col(j)))
-    # of the block before the last one less than exp(-RANGE) is left, or as much as gaps leave of it
-    before = session.order.rowsBetween(Window.unboundedPreceding, -1)
-    last = F.lead(b).over(session.order) != F.col(b)
-    level = rate * F.col(place) + F.col(f"_{name}_lost")
-    df = df.withColumn(end, F.last(F.when(last, F.struct(F.col(own).alias("sum"), level.alias("level"))), ignorenulls=True).over(before))
-    return df.withColumn(name, F.col(own) + F.coalesce(F.col(f"{end}.sum") * F.exp(F.col(f"{end}.level") - level), F.lit(0.0))).drop(b, j, base, own, end, f"_{name}_lost")
-
-
-def smoothed(df: DataFrame, session: Session, name: str, c: str, alpha: float, start: int = 0) -> DataFrame:
-    """Adds y[i] = alpha x[i] + (1 - alpha) y[i-1], from the first value at row `start` of a session or later, where y = x.
-
-    Missing values repeat the last y. After a gap the last y has the weight (1 - alpha)^rows against alpha, both over their sum, so
-    that its age counts; without gaps that is the recursion.
-    """
-    decay = 1 - alpha
-    place, seen, lost, sums, y = (f"_{name}_{x}" for x in ("i", "seen", "lost", "sums", "y"))
-    x = F.when(F.col(place) >= 0, F.col(c))
-    before = session.order.rowsBetween(Window.unboundedPreceding, -1)
-    df = df.withColumn(place, session.ordinal() - start)
-    df = df.withColumn(seen, F.max(F.when(x.isNotNull(), F.col(place))).over(before))
-    gap = F.col(place) - F.col(seen)
-    both = F.pow(F.lit(decay), gap) + alpha
-    after_gap = x.isNotNull() & (gap > 1)
-    df = df.withColumn(lost, F.coalesce(F.sum(F.when(after_gap, F.log(both))).over(session.so_far), F.lit(0.0)))
-    weight = F.when(F.col(seen).isNull(), F.lit(1.0)).when(after_gap, alpha / both).otherwise(F.lit(alpha))
-    df = _decayed(df, session, sums, x * weight, place, -math.log(decay), F.col(lost))
-    df = df.withColumn(y, F.when(x.isNotNull(), F.col(sums)))
-    return df.withColumn(name, session.ffill(F.col(y))).drop(place, seen, lost, sums, y)
-
-
-def ewm_adjusted(df: DataFrame, session: Session, name: str, c: str, span: int) -> DataFrame:
-    """Adds the mean of the rows so far with weights (1 - 2 / (span + 1))^age; rows without a value have none."""
-    rate = -math.log(1 - 2 / (span + 1))
-    place, up, down = (f"_{name}_{x}" for x in ("i", "up", "down"))
-    df = df.withColumn(place, session.ordinal())
-    df = _decayed(df, session, up, F.col(c), place, rate)
-    df = _decayed(df, session, down, F.when(F.col(c).isNotNull(), F.lit(1.0)), place, rate)
-    return df.withColumn(name, div(up, down)).drop(place, up, down)

@@ -155,8 +155,9 @@ FACTORS = ["reversal_momentum_factor", "reversal_media_factor", "reversion_vol_m
 def feature_table(df: DataFrame, window: int = 30, keys: list[str] | None = None) -> tuple[DataFrame, list[str]]:
     """Target, the best indicators and the final factor of each hypothesis: bars and one column for each."""
     df = add_targets(df, (window,), keys=keys)
-    df, names = indicators.best(df, keys=keys)
     df = reversal_momentum_factor(df, window, keys=keys)
     df = reversal_media_factor(df, window, keys=keys)
     df = reversion_vol_momentum_factor(df, window, keys=keys)
-    return opening_exhaustion(df, keys=keys), [*names, *FACTORS]
+    # recursions come last: what comes behind them would be dealt out by session once more
+    df, names = indicators.best(opening_exhaustion(df, keys=keys), keys=keys)
+    return df, [*names, *FACTORS]

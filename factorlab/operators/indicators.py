@@ -6,26 +6,53 @@ such results.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from factorlab.functions.safe import div
-from factorlab.functions.windows import LONGEST, Session, ewm_adjusted, smoothed
+from factorlab.functions.scan import Compute, Scan, scanned
+from factorlab.functions.windows import Session
 
 Result = tuple[DataFrame, list[str]]
 
 
-def rsi(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (14, 7, 5, 3), keys: list[str] | None = None, longest: int = LONGEST) -> Result:
+class Recursive:
+    """An indicator that is a recursion along a session: what it reads, what it makes, and how. Several go over the rows together."""
+
+    def __init__(self, sources: list[str], names: list[str], compute: Compute) -> None:
+        self.sources, self.names, self.compute = sources, names, compute
+
+    @staticmethod
+    def add(df: DataFrame, keys: list[str] | None, *families: Recursive) -> Result:
+        names = [n for f in families for n in f.names]
+
+        def compute(x: dict[str, np.ndarray], scan: Scan) -> dict[str, np.ndarray]:
+            out: dict[str, np.ndarray] = {}
+            for f in families:
+                out |= f.compute(x, scan)
+            return out
+
+        return scanned(df, Session(keys), list(dict.fromkeys(c for f in families for c in f.sources)), names, compute), names
+
+
+def _rsi(src: str, windows: tuple[int, ...]) -> Recursive:
+    def compute(x: dict[str, np.ndarray], scan: Scan) -> dict[str, np.ndarray]:
+        step = x[src] - scan.previous(x[src])
+        gain, loss = np.where(step > 0, step, 0.0), np.where(step < 0, -step, 0.0)
+        out = {}
+        for n in windows:
+            up, down = scan.smooth(gain, 1 / n), scan.smooth(loss, 1 / n)
+            value = np.where(down == 0, 100.0, 100 - 100 / (1 + up / down))
+            out[f"rsi_{n}"] = np.where(x["place"] >= n - 1, value, np.nan)
+        return out
+
+    return Recursive([src], [f"rsi_{n}" for n in windows], compute)
+
+
+def rsi(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (14, 7, 5, 3), keys: list[str] | None = None) -> Result:
     """Relative strength by Wilder's smoothing. A missing difference counts as none; without losses it is 100; the first N - 1 rows are NULL."""
-    s = Session(keys, longest)
-    step = s.difference(src)
-    df = df.withColumns({"_up": F.when(step > 0, step).otherwise(0.0), "_down": F.when(step < 0, -step).otherwise(0.0)}).withColumn("_i", s.ordinal())
-    for n in windows:
-        df = smoothed(df, s, "_u", "_up", 1 / n)
-        df = smoothed(df, s, "_d", "_down", 1 / n)
-        value = F.when(F.col("_d") == 0, F.lit(100.0)).otherwise(100 - 100 / (1 + div("_u", "_d")))
-        df = df.withColumn(f"rsi_{n}", F.when(F.col("_i") >= n - 1, value)).drop("_u", "_d")
-    return df.drop("_up", "_down", "_i"), [f"rsi_{n}" for n in windows]
+    return Recursive.add(df, keys, _rsi(src, windows))
 
 
 def rsi_simple(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (5, 15, 30), offset: float = 80.0, keys: list[str] | None = None) -> Result:
@@ -54,21 +81,27 @@ def volume_ratio(df: DataFrame, src: str = "volume", windows: tuple[int, ...] =
     return df.withColumns({f"volume_ratio_{n}": div(src, s.rolling(src, n, F.avg)) for n in windows}), [f"volume_ratio_{n}" for n in windows]
 
 
-def macd(df: DataFrame, src: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, keys: list[str] | None = None, longest: int = LONGEST) -> Result:
+def _macd(src: str, fast: int, slow: int, signal: int) -> Recursive:
+    def compute(x: dict[str, np.ndarray], scan: Scan) -> dict[str, np.ndarray]:
+        quick, late = scan.smooth(x[src], 2 / (fast + 1)), scan.smooth(x[src], 2 / (slow + 1))
+        line = np.where(scan.count(x[src]) >= slow, quick - late, np.nan)
+        level = scan.smooth(line, 2 / (signal + 1))
+        return {"macd": np.where(scan.count(line) >= signal, line - level, np.nan)}
+
+    return Recursive([src], ["macd"], compute)
+
+
+def macd(df: DataFrame, src: str = "close", fast: int = 12, slow: int = 26, signal: int = 9, keys: list[str] | None = None) -> Result:
     """Histogram: the difference of two smoothed series less its own smoothed series, which starts where the slow one has `slow` values."""
-    s = Session(keys, longest)
-    df = smoothed(smoothed(df, s, "_fast", src, 2 / (fast + 1)), s, "_slow", src, 2 / (slow + 1))
-    df = df.withColumn("_line", F.when(F.count(src).over(s.so_far) >= slow, F.col("_fast") - F.col("_slow")))
-    df = smoothed(df, s, "_signal", "_line", 2 / (signal + 1))
-    return df.withColumn("macd", F.when(F.count("_line").over(s.so_far) >= signal, F.col("_line") - F.col("_signal"))).drop("_fast", "_slow", "_line", "_signal"), ["macd"]
+    return Recursive.add(df, keys, _macd(src, fast, slow, signal))
 
 
-def price_ema(df: DataFrame, src: str = "close", spans: tuple[int, ...] = (15, 20, 30), keys: list[str] | None = None, longest: int = LONGEST) -> Result:
-    s = Session(keys, longest)
-    for n in spans:
-        df = ewm_adjusted(df, s, "_mean", src, n)
-        df = df.withColumn(f"price_ema{n}", div(src, "_mean") - 1).drop("_mean")
-    return df, [f"price_ema{n}" for n in spans]
+def _price_ema(src: str, spans: tuple[int, ...]) -> Recursive:
+    return Recursive([src], [f"price_ema{n}" for n in spans], lambda x, scan: {f"price_ema{n}": x[src] / scan.adjusted(x[src], n) - 1 for n in spans})
+
+
+def price_ema(df: DataFrame, src: str = "close", spans: tuple[int, ...] = (15, 20, 30), keys: list[str] | None = None) -> Result:
+    return Recursive.add(df, keys, _price_ema(src, spans))
 
 
 def stochastic(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (14, 20, 30), high: str | None = None, low: str | None = None, keys: list[str] | None = None) -> Result:
@@ -92,17 +125,24 @@ def bollinger(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (15,
     return df.withColumns(out), list(out)
 
 
-def atr(df: DataFrame, src: str = "close", window: int = 14, keys: list[str] | None = None, longest: int = LONGEST) -> Result:
+def _atr(src: str, window: int) -> Recursive:
+    def compute(x: dict[str, np.ndarray], scan: Scan) -> dict[str, np.ndarray]:
+        place, last = x["place"], scan.previous(x[src])
+        # of three ranges those that are known
+        reach = np.fmax(np.fmax(x["high"] - x["low"], np.abs(x["high"] - last)), np.abs(x["low"] - last))
+        early = np.where(place < window, reach, np.nan)
+        seed = scan.total(early) / scan.count(early)
+        # the seed stands in the place of the range of row N - 1
+        mean = scan.smooth(np.where(place == window - 1, seed, reach), 1 / window, start=window - 1)
+        mean = np.where(place < window - 1, 0.0, mean)
+        return {"atr": mean, "atr_norm": mean / x[src]}
+
+    return Recursive(list(dict.fromkeys([src, "high", "low"])), ["atr", "atr_norm"], compute)
+
+
+def atr(df: DataFrame, src: str = "close", window: int = 14, keys: list[str] | None = None) -> Result:
     """Average true range by Wilder's smoothing, seeded by the mean of the first N ranges, 0 before; and the same over the source."""
-    s = Session(keys, longest)
-    last = s.lag(src)
-    df = df.withColumn("_range", F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - last), F.abs(F.col("low") - last))).withColumn("_i", s.ordinal())
-    seed = F.avg(F.when(F.col("_i") < window, F.col("_range"))).over(s.so_far)
-    # the seed stands in the place of the range of row N - 1
-    df = df.withColumn("_seeded", F.when(F.col("_i") == window - 1, seed).otherwise(F.col("_range")))
-    df = smoothed(df, s, "_atr", "_seeded", 1 / window, start=window - 1)
-    df = df.withColumn("atr", F.when(F.col("_i") < window - 1, F.lit(0.0)).otherwise(F.col("_atr"))).withColumn("atr_norm", div("atr", src))
-    return df.drop("_range", "_i", "_seeded", "_atr"), ["atr", "atr_norm"]
+    return Recursive.add(df, keys, _atr(src, window))
 
 
 def roc(df: DataFrame, src: str = "close", windows: tuple[int, ...] = (5, 10, 20), keys: list[str] | None = None) -> Result:
@@ -115,20 +155,20 @@ def candle(df: DataFrame) -> Result:
     return df.withColumn("body_ratio", div("body_size", "candle_range")), ["body_size", "candle_range", "body_ratio"]
 
 
-def bundle(df: DataFrame, src: str = "close", keys: list[str] | None = None, longest: int = LONGEST) -> Result:
-    """All families on one source; one Exchange serves them all."""
-    names: list[str] = []
-    for family in (rsi, momentum, macd, price_ema, stochastic, bollinger, atr, roc):
-        df, own = family(df, src, keys=keys, **({"longest": longest} if family in (rsi, macd, price_ema, atr) else {}))
-        names += own
-    df, own = volume_ratio(df, keys=keys)
-    return df, names + own
+def bundle(df: DataFrame, src: str = "close", keys: list[str] | None = None) -> Result:
+    """All families on one source. One Exchange serves all windows, and one pass behind them all recursions."""
+    own: dict[str, list[str]] = {}
+    for family in (momentum, stochastic, bollinger, roc):
+        df, own[family.__name__] = family(df, src, keys=keys)
+    df, own["volume_ratio"] = volume_ratio(df, keys=keys)
+    families = {"rsi": _rsi(src, (14, 7, 5, 3)), "macd": _macd(src, 12, 26, 9), "price_ema": _price_ema(src, (15, 20, 30)), "atr": _atr(src, 14)}
+    df, _ = Recursive.add(df, keys, *families.values())
+    own |= {k: f.names for k, f in families.items()}
+    return df, [n for k in ("rsi", "momentum", "macd", "price_ema", "stochastic", "bollinger", "atr", "roc", "volume_ratio") for n in own[k]]
 
 
-def best(df: DataFrame, src: str = "close", keys: list[str] | None = None, longest: int = LONGEST) -> Result:
+def best(df: DataFrame, src: str = "close", keys: list[str] | None = None) -> Result:
     """The six that an evaluation leaves: rsi_7 and 14, macd, two Bollinger %B, and the range over the price."""
-    df, _ = rsi(df, src, (14, 7), keys, longest)
-    df, _ = macd(df, src, keys=keys, longest=longest)
     df, _ = bollinger(df, src, (20, 30), (2.0,), keys)
-    df, _ = atr(df, src, keys=keys, longest=longest)
+    df, _ = Recursive.add(df, keys, _rsi(src, (14, 7)), _macd(src, 12, 26, 9), _atr(src, 14))
     return df.drop("atr"), ["rsi_14", "rsi_7", "macd", "bb_percent_20_20", "bb_percent_30_20", "atr_norm"]

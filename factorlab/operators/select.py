@@ -2,27 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
+from itertools import combinations, combinations_with_replacement
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from factorlab.functions.safe import corr_safe
+from factorlab.functions.lineage import kept
+from factorlab.functions.moments import all_pairs, columns_of, correlation
 
-#: A value that more than one in HOT of a column's rows have is broadcast with its rank.
+#: A value that more than one in HOT of a group's rows have is broadcast with its rank.
 HOT = 1000
 
 
 def pearson_pairs(df: DataFrame, columns: list[str], both_ways: bool = False) -> DataFrame:
-    """factor_1, factor_2, corr of all pairs, from the rows that have both. A row is laid out once for each column, against all columns after it, and
-    summed before the shuffle."""
-    last = range(1, len(columns))
-    names = F.array(*[F.lit(c) for c in columns])
-    value = [F.col(c).cast("double") for c in columns]
-    each = df.select(F.posexplode(F.array(*value[:-1])).alias("_k", "_x"), *[value[j].alias(f"_{j}") for j in last])
-    sums = each.groupBy("_k").agg(*[corr_safe(F.when(F.col("_k") < j, F.col("_x")), f"_{j}").alias(f"_c{j}") for j in last])
-    pairs = sums.select("_k", F.posexplode(F.array(*[f"_c{j}" for j in last])).alias("_j", "corr")).filter("_j >= _k")
-    out = pairs.select(F.element_at(names, F.col("_k") + 1).alias("factor_1"), F.element_at(names, F.col("_j") + 2).alias("factor_2"), "corr")
+    """factor_1, factor_2, corr of all pairs, from the rows that have both: products of the matrices of values and of what is missing, added up by task."""
+    pairs = {(columns[i], columns[j]): (i, j) for i, j in combinations(range(len(columns)), 2)}
+    values = df.select(*[F.col(c).cast("double").alias(f"_{k}") for k, c in enumerate(columns)])
+    out = all_pairs(values, len(columns), columns_of, pairs).select("factor_1", "factor_2", correlation().alias("corr"))
     return out.union(out.select("factor_2", "factor_1", "corr")) if both_ways else out
 
 
@@ -38,43 +37,70 @@ def top_neighbours(pairs: DataFrame, scores: DataFrame, n: int = 5) -> DataFrame
     return scores.select("factor", "ic_score").join(wide, "factor", "left")
 
 
-def global_ranks(df: DataFrame, columns: list[str], row: list[str]) -> DataFrame:
-    """df's `row` columns and each column's average rank over the whole table, for rows that have all columns; row names a row.
+def dealt_ranks(long: DataFrame, row: list[str], group: str, value: str) -> DataFrame:
+    """row, group, rank: the average rank of each row's value among all rows of its group.
 
-    No task holds a column: values are counted, dealt out by ranges of (column, value), and a range's ranks begin where the counts of
-    the ranges before it end. A value that a large share of rows has isn't joined in one task.
+    No task holds a group: values are counted, dealt out by ranges of (group, value), and a range's ranks begin where the counts of the
+    ranges before it end. A value that a large share of a group's rows have isn't joined in one task.
     """
-    whole = df.select(*row, *columns).na.drop("any", subset=columns)
-    long = whole.select(*row, F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])).alias("_v")).select(*row, "_v.*")
+    long = long.select(*row, F.col(group).alias("column"), F.col(value).alias("value"))
     counts = long.groupBy("column", "value").agg(F.count(F.lit(1)).alias("n")).repartitionByRange("column", "value").withColumn("range", F.spark_partition_id())
-    counts = _kept(counts)  # sampled range bounds need not repeat
+    counts = kept(counts)  # sampled range bounds need not repeat
     sizes = counts.groupBy("column", "range").agg(F.sum("n").alias("_size"))
     before = Window.partitionBy("column").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("column", "range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy("column", "range").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     ranks = counts.join(starts, ["column", "range"]).select("column", "value", "n", (F.col("_start") + F.sum("n").over(within) - (F.col("n") - 1) / 2.0).alias("rank"))
-    # values that many rows have are fewer than HOT a column and are broadcast; their rows are spread over the join that finds the rest
+    # values that many rows have are fewer than HOT a group and are broadcast; their rows are spread over the join that finds the rest
     rows = sizes.groupBy("column").agg(F.sum("_size").alias("_rows"))
     hot = ranks.join(F.broadcast(rows), "column").filter(F.col("n") * HOT > F.col("_rows")).select("column", "value", F.col("rank").alias("_hot_rank"))
     spread = F.when(F.col("_hot_rank").isNotNull(), 1 + F.pmod(F.xxhash64(*row), F.lit(HOT))).otherwise(F.lit(0).cast("long"))
     placed = long.join(F.broadcast(hot), ["column", "value"], "left").withColumn("_spread", spread)
     placed = placed.join(ranks.withColumn("_spread", F.lit(0).cast("long")), ["column", "value", "_spread"], "left").withColumn("rank", F.coalesce("_hot_rank", "rank"))
-    return placed.groupBy(*row).agg(*[F.max(F.when(F.col("column") == c, F.col("rank"))).alias(c) for c in columns])
+    return placed.select(*row, F.col("column").alias(group), "rank")
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the checkpoint folder that the session names, or where none is set and the master is local, in one of its own."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        if not context.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="factorlab-"))
-    return df.checkpoint()
+def shared_rows(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], int]:
+    """How many rows have both columns, for each two of them and for each alone."""
+    both = list(combinations_with_replacement(columns, 2))
+    counts = df.agg(*[F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"_{k}") for k, (a, b) in enumerate(both)]).first()
+    return {x: counts[k] for k, p in enumerate(both) for x in (p, p[::-1])}
+
+
+def rankings(n: dict[tuple[str, str], int], columns: list[str]) -> dict[tuple[str, str], tuple[str, ...]]:
+    """For each pair, the columns whose presence picks its rows: one, where every row that has it has the other too. Of columns that are there
+    in the same rows the first stands for all, so pairs that are ranked over the same rows share one ranking of a column."""
+    like = {c: next(d for d in columns if n[c, d] == n[c, c] == n[d, d]) for c in columns}
+    out = {}
+    for a, b in combinations(columns, 2):
+        x, y = like[a], like[b]
+        out[a, b] = (x,) if n[x, y] == n[x, x] else (y,) if n[x, y] == n[y, y] else tuple(sorted((x, y)))
+    return out
 
 
 def spearman_pairs(df: DataFrame, columns: list[str], row: list[str]) -> DataFrame:
-    """factor_1, factor_2, corr of the ranks over the whole table, for rows that have all columns."""
-    return pearson_pairs(global_ranks(df, columns, row), columns)
+    """factor_1, factor_2, corr of ranks, each pair ranked over the rows that have both; row names a row.
+
+    A column is ranked once for all pairs that leave it the same rows, and again only where what is missing differs. A row's ranks come
+    together as one list, and correlations are those lists' matrix products.
+    """
+    df = kept(df.select(*row, *[F.col(c).cast("double").alias(c) for c in columns]))
+    picks = rankings(shared_rows(df, columns), columns)
+    number: dict[tuple, int] = {}
+    pairs = {(a, b): tuple(number.setdefault((pick, c), len(number)) for c in (a, b)) for (a, b), pick in picks.items()}
+    each = [F.when(reduce(lambda x, y: x & y, [F.col(p).isNotNull() for p in {*pick, c}]), F.struct(F.lit(k).alias("ranking"), F.col(c).alias("value"))) for (pick, c), k in number.items()]
+    long = df.select(*row, F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("_v")).select(*row, "_v.*")
+    ranked = dealt_ranks(long, row, "ranking", "value").groupBy(*row).agg(F.collect_list(F.struct("ranking", "rank")).alias("ranks"))
+    width = len(number)
+
+    def matrix(batch: pa.RecordBatch) -> np.ndarray:
+        lists = batch.column(0)
+        out = np.full((len(lists), width), np.nan)
+        flat = lists.flatten()
+        out[np.repeat(np.arange(len(lists)), np.array(lists.value_lengths())), np.array(flat.field("ranking"))] = np.array(flat.field("rank"))
+        return out
+
+    return all_pairs(ranked.select("ranks"), width, matrix, pairs).select("factor_1", "factor_2", correlation().alias("corr"))
 
 
 def corr_with(pairs: DataFrame, target: str) -> DataFrame:

@@ -307,6 +307,11 @@ def ic_mean_by_horizon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _mean_ic(evaluate.evaluate_factor(targets.add_targets(bars_daily(spark, sf_dir)), factors.momentum_z, "momentum_z_"))
 
 
+@query("ic_mean_by_horizon_dropall", f"{with_('D', *_SCORED[:1])}, s2 AS (SELECT * FROM ({_SCORED[1].split(' AS MATERIALIZED ', 1)[1]}) WHERE {_COMPLETE})\n{_horizons('momentum_z_')}")
+def ic_mean_by_horizon_dropall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mean_ic(evaluate.mean_ic_by_horizon(_scored(spark, sf_dir), {n: f"momentum_z_{n}" for n in H}, drop="all"))
+
+
 _SV = [_SCORED[0].replace(" FROM bars)", ", " + ", ".join(f"{_V[f'mv{n}']} AS mv{n}" for n in H) + " FROM bars)"), f"s2 AS MATERIALIZED (SELECT symbol, session, {', '.join(f'target_return_{n}, -' + zscore(f'm{n}') + f' AS h1_{n}, -' + zscore(f'mv{n}') + f' AS h3_{n}' for n in H)} FROM s1)"]
 
 
@@ -476,30 +481,41 @@ def corr_top5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("factor", *[(F.col(c) if c.startswith("corr_ind") else (F.round(c, 6) + 0.0)).alias(c) for c in df.columns if c != "factor"])
 
 
-_CF = ["target_return_30", *_BEST_NAMES, "atr_norm", "reversal_momentum_factor", "reversal_media_factor", "reversion_vol_momentum_factor"]
-_CF_TABLE = FEATS.replace(sql.INTRADAY, sql.DAILY)
-_RANKS = f"ranks AS MATERIALIZED (SELECT {', '.join(f'rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}' for c in _CF)} FROM feats WHERE {' AND '.join(f'{c} IS NOT NULL' for c in _CF)})"
-_SPEARMAN = f"{_CF_TABLE}, {_RANKS}, pairs AS MATERIALIZED ({_pairs_sql('ranks', _CF)})"
+_CF = ["target_return_30", *_BEST_NAMES, "atr_norm", *factors.FACTORS]
+
+
+def _rank_pairs_sql(table: str, columns: list[str]) -> str:
+    """Each pair is ranked over the rows that have both."""
+    rank = lambda c: f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0"
+    return " UNION ALL ".join(f"SELECT '{a}' AS factor_1, '{b}' AS factor_2, {pearson('x', 'y')} AS corr FROM (SELECT {rank(a)} AS x, {rank(b)} AS y FROM {table} WHERE {a} IS NOT NULL AND {b} IS NOT NULL)" for k, a in enumerate(columns) for b in columns[k + 1 :])
 
 
-def _spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, _ = factors.feature_table(bars_daily(spark, sf_dir))
+_SPEARMAN = {bars: f"{FEATS.replace(sql.INTRADAY, table)}, pairs AS MATERIALIZED ({_rank_pairs_sql('feats', _CF)})" for bars, table in (("D", sql.DAILY), ("I", sql.INTRADAY))}
+
+
+def _spearman_pairs(spark: SparkSession, sf_dir: str, bars: str = "D") -> DataFrame:
+    df, _ = factors.feature_table(READ[bars](spark, sf_dir))
     return select.spearman_pairs(df, _CF, ["symbol", "session", "ts"])
 
 
-@query("corr_spearman_pairs", f"{_SPEARMAN}\nSELECT factor_1, factor_2, {rounded({'corr': 'corr'})} FROM pairs")
-def corr_spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(_spearman_pairs(spark, sf_dir))
+def _spearman_queries(bars: str, suffix: str) -> None:
+    """All pairs, those with the target, and the ten strongest."""
+
+    @query(f"corr_spearman_pairs{suffix}", f"{_SPEARMAN[bars]}\nSELECT factor_1, factor_2, {rounded({'corr': 'corr'})} FROM pairs")
+    def corr_spearman_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _pairs(_spearman_pairs(spark, sf_dir, bars))
 
+    @query(f"corr_target{suffix}", f"{_SPEARMAN[bars]}\nSELECT factor_2 AS factor, {rounded({'corr_target': 'corr'})} FROM pairs WHERE factor_1 = 'target_return_30'")
+    def corr_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return select.corr_with(_spearman_pairs(spark, sf_dir, bars), "target_return_30").select("factor", (F.round("corr_target", 6) + 0.0).alias("corr_target")).orderBy(F.abs("corr_target").desc())
 
-@query("corr_target", f"{_SPEARMAN}\nSELECT factor_2 AS factor, {rounded({'corr_target': 'corr'})} FROM pairs WHERE factor_1 = 'target_return_30'")
-def corr_target(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return select.corr_with(_spearman_pairs(spark, sf_dir), "target_return_30").select("factor", (F.round("corr_target", 6) + 0.0).alias("corr_target")).orderBy(F.abs("corr_target").desc())
+    @query(f"corr_top10{suffix}", f"{_SPEARMAN[bars]}\nSELECT factor_1, factor_2, {rounded({'corr': 'corr'})} FROM pairs WHERE corr IS NOT NULL ORDER BY abs(pairs.corr) DESC, factor_1, factor_2 LIMIT 10")
+    def corr_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _pairs(select.strongest(_spearman_pairs(spark, sf_dir, bars)))
 
 
-@query("corr_top10", f"{_SPEARMAN}\nSELECT factor_1, factor_2, {rounded({'corr': 'corr'})} FROM pairs WHERE corr IS NOT NULL ORDER BY abs(pairs.corr) DESC, factor_1, factor_2 LIMIT 10")
-def corr_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _pairs(select.strongest(_spearman_pairs(spark, sf_dir)))
+_spearman_queries("D", "")
+_spearman_queries("I", "_intraday")
 
 
 # one row for each factor, in order of score; the names selected so far are carried along

@@ -11,8 +11,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from factorlab.functions import moments
 from factorlab.functions.safe import corr_safe, div, require_columns
-from factorlab.functions.windows import Session, smoothed
+from factorlab.functions.scan import Scan, affine, smoothed
+from factorlab.functions.windows import Session
 from factorlab.operators import evaluate, factors, indicators, select, series, signals, targets
 from factorlab.sources.bars import SCHEMA, prepare, read_bars, write_features
 
@@ -113,24 +115,40 @@ def test_smoothing_in_blocks_is_the_recursion(spark):
     close_to(column(smoothed(df, Session(), "y", "close", 0.9, start=25), "y"), [None] * 25 + late)
 
 
-@pytest.mark.parametrize("n", [200, 3000])
+@pytest.mark.parametrize("n", [200, 3000, 100_000])
 def test_smoothing_of_gaps_and_long_sessions(spark, n):
-    """Missing closes age the mean, as in pandas; sessions longer than the default are named and then taken in blocks."""
+    """Missing closes age the mean, as in pandas, in sessions of any length."""
     r = np.random.default_rng(n)
-    closes = [None if i in (0, 60, 61) or r.random() < 0.1 else x for i, x in enumerate(walk(n))]
+    closes = [None if i in (0, 60, 61) or 300 < i < 1000 or r.random() < 0.1 else x for i, x in enumerate(walk(n))]
     b = bars(spark, closes).withColumn("session", F.lit(DAY.date()))
     c = pd.Series(closes, dtype=float)
     for alpha in (0.05, 1 / 3, 0.9):
-        close_to(column(smoothed(b, Session(longest=n), "y", "close", alpha), "y"), c.ewm(alpha=alpha, adjust=False).mean().tolist())
+        close_to(column(smoothed(b, Session(), "y", "close", alpha), "y"), c.ewm(alpha=alpha, adjust=False).mean().tolist())
     line = c.ewm(span=12, adjust=False, min_periods=12).mean() - c.ewm(span=26, adjust=False, min_periods=26).mean()
-    close_to(column(indicators.macd(b, longest=n)[0], "macd"), (line - line.ewm(span=9, adjust=False, min_periods=9).mean()).tolist())
-    close_to(column(indicators.price_ema(b, spans=(3, 15), longest=n)[0], "price_ema3"), (c / c.ewm(span=3).mean() - 1).tolist())
+    close_to(column(indicators.macd(b)[0], "macd"), (line - line.ewm(span=9, adjust=False, min_periods=9).mean()).tolist())
+    close_to(column(indicators.price_ema(b, spans=(3, 15))[0], "price_ema3"), (c / c.ewm(span=3).mean() - 1).tolist())
     step = c.diff()
     up, down = step.where(step > 0, 0.0).ewm(alpha=1 / 3, adjust=False, min_periods=3).mean(), (-step.where(step < 0, 0.0)).ewm(alpha=1 / 3, adjust=False, min_periods=3).mean()
-    close_to(column(indicators.rsi(b, windows=(3,), longest=n)[0], "rsi_3"), (100 - 100 / (1 + up / down)).where(down != 0, 100.0).where(up.notna()).tolist())
-    if n > 1440:
-        with pytest.raises(Exception, match="longest"):
-            indicators.price_ema(b)[0].collect()
+    close_to(column(indicators.rsi(b, windows=(3,))[0], "rsi_3"), (100 - 100 / (1 + up / down)).where(down != 0, 100.0).where(up.notna()).tolist())
+
+
+@pytest.mark.parametrize("size", [1, 7, 64, 1000])
+def test_scans_go_on_over_batches_and_stop_at_sessions(size):
+    r = np.random.default_rng(size)
+    place = np.concatenate([np.arange(n) for n in (1, 5, 300, 2, 90)])
+    x = np.where(r.random(len(place)) < 0.2, np.nan, r.normal(size=len(place)))
+    session = np.cumsum(place == 0)
+    scan, found = Scan(), []
+    for k in range(0, len(x), size):
+        scan.begin(place[k : k + size])
+        y = x[k : k + size]
+        found.append([scan.smooth(y, 0.3), scan.adjusted(y, 5), scan.count(y), scan.previous(y), scan.smooth(y, 0.5, start=3), scan.total(y)])
+    by = pd.Series(x).groupby(session)
+    late = by.transform(lambda s: s.where(np.arange(len(s)) >= 3).ewm(alpha=0.5, adjust=False).mean())
+    want = [by.transform(lambda s: s.ewm(alpha=0.3, adjust=False).mean()), by.transform(lambda s: s.ewm(span=5).mean()), by.transform(lambda s: s.notna().cumsum()), by.shift(1), late, by.transform(lambda s: s.fillna(0).cumsum())]
+    for a, b in zip(map(np.concatenate, zip(*found)), want):
+        np.testing.assert_allclose(a, b.to_numpy(dtype=float), rtol=1e-11, atol=1e-12)
+    assert affine(np.array([0.5]), np.array([1.0]), 4.0).tolist() == [3.0]
 
 
 def test_flat_session(spark):
@@ -266,7 +284,7 @@ def test_correlation_matrices(spark):
     p = pd.DataFrame(data, columns=["k", "a", "b", "c"])[["a", "b", "c"]].astype(float)
     for x in select.pearson_pairs(df, ["a", "b", "c"]).collect():
         assert x["corr"] == pytest.approx(p[x["factor_1"]].corr(p[x["factor_2"]]))
-    whole = p.dropna().corr(method="spearman")
+    whole = p.corr(method="spearman")
     pairs = select.spearman_pairs(df, ["a", "b", "c"], ["k"])
     for x in pairs.collect():
         assert x["corr"] == pytest.approx(whole.loc[x["factor_1"], x["factor_2"]])
@@ -298,22 +316,55 @@ def test_no_bar_table_in_one_task(spark):
     b = bars(spark, walk(40), walk(40, 2))
     plan = factors.feature_table(b)[0]._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan and plan.count("Exchange hashpartitioning") == 1
+    scored = targets.add_targets(factors.momentum_z(b))
+    plan = evaluate.mean_ic_by_horizon(scored, {n: f"momentum_z_{n}" for n in (5, 15, 30)}, drop="all")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Scan") == 1
     plan = series.series_momentum(b, chunk=100)._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
 
 
 @pytest.mark.parametrize("share", [1000, 4])
-def test_ranks_and_correlations_with_values_that_most_rows_have(spark, monkeypatch, share):
-    """Ranks of broadcast and of joined values, and correlations over rows with gaps and of constants, against pandas."""
+def test_ranks_of_values_that_most_rows_have(spark, monkeypatch, share):
+    """Ranks of broadcast and of joined values, group by group."""
     monkeypatch.setattr(select, "HOT", share)
     r = random.Random(2)
-    table = [(k, r.choice([0.0, 0.0, 0.0, r.random(), 1.5]), None if k % 17 == 0 else float(r.randrange(40)), r.gauss(0, 1), 7.0) for k in range(300)]
-    df = spark.createDataFrame(table, "k long, a double, b double, c double, d double").repartition(3)
-    frame = pd.DataFrame(table, columns=["k", "a", "b", "c", "d"]).dropna()
-    want = {int(k): row for k, *row in frame.assign(**{c: frame[c].rank() for c in "abc"})[["k", "a", "b", "c"]].itertuples(index=False)}
-    assert {x["k"]: [x["a"], x["b"], x["c"]] for x in select.global_ranks(df, ["a", "b", "c"], ["k"]).collect()} == want
-    whole = pd.DataFrame(table, columns=["k", "a", "b", "c", "d"])
-    got = {(x["factor_1"], x["factor_2"]): x["corr"] for x in select.pearson_pairs(df, ["a", "b", "c", "d"]).collect()}
-    assert set(got) == {(x, y) for i, x in enumerate("abcd") for y in "abcd"[i + 1 :]}
-    for (x, y), value in got.items():
-        assert value is None if y == "d" else value == pytest.approx(whole[x].corr(whole[y]))
+    table = [(k, g, r.choice([0.0, 0.0, 0.0, r.random(), 1.5]) if g else float(r.randrange(40))) for k in range(300) for g in range(2) if k % 17 or g]
+    want = pd.DataFrame(table, columns=["k", "g", "x"])
+    want["rank"] = want.groupby("g")["x"].rank()
+    got = select.dealt_ranks(spark.createDataFrame(table, "k long, g int, x double").repartition(3), ["k"], "g", "x")
+    assert sorted(map(tuple, got.select("k", "g", "rank").collect())) == sorted((int(k), int(g), x) for k, g, x in want[["k", "g", "rank"]].itertuples(index=False))
+
+
+@pytest.mark.parametrize("parts", [1, 7])
+def test_correlations_over_the_rows_that_a_pair_has(spark, parts):
+    """All pairs, plain and by ranks, against pandas: equal, nested and crossing patterns of missing values, a constant, a column of nothing, large means."""
+    r = np.random.default_rng(4)
+    x = pd.DataFrame({"k": np.arange(400), "a": r.integers(0, 30, 400) * 1.0, "b": r.normal(1e6, 1, 400), "c": r.normal(0, 1, 400), "d": 7.3, "e": np.nan, "f": r.normal(0, 1, 400), "g": r.integers(0, 3, 400) * 1.0})
+    x["f"] += x["a"]
+    x.loc[:30, ["a", "b"]] = np.nan
+    x.loc[:90, "f"] = np.nan
+    x.loc[350:, "c"] = np.nan
+    x.loc[x["k"] % 7 == 3, "g"] = np.nan
+    names = list("abcdefg")
+    table = [tuple(None if isinstance(v, float) and math.isnan(v) else v for v in row) for row in x.itertuples(index=False)]
+    df = spark.createDataFrame(table, "k long, " + ", ".join(f"{c} double" for c in names)).repartition(parts)
+    for found, want in ((select.pearson_pairs(df, names), x[names].corr()), (select.spearman_pairs(df, names, ["k"]), x[names].corr(method="spearman"))):
+        got = {(p["factor_1"], p["factor_2"]): p["corr"] for p in found.collect()}
+        assert set(got) == {(p, q) for i, p in enumerate(names) for q in names[i + 1 :]}
+        for (p, q), value in got.items():
+            assert value is None if {p, q} & {"d", "e"} else value == pytest.approx(want.loc[p, q], abs=1e-8), (p, q)
+    n = select.shared_rows(df, names)
+    assert n["a", "b"] == n["a", "a"] and len(set(select.rankings(n, names).values())) < 21
+
+
+def test_moments_merge(spark):
+    """Parts of any size, empty ones too, give what all rows at once give."""
+    r = random.Random(8)
+    rows = [(k % 9, k % 2, 1e6 + r.random() if r.random() < 0.8 else None, None if k % 9 == 4 else r.gauss(0, 1)) for k in range(900)] + [(20, 2, None, 1.0)]
+    df = spark.createDataFrame(rows, "part int, g int, x double, y double")
+    parts = df.groupBy("part", "g").agg(moments.pair_moments("x", "y").alias("m")).select("part", "g", "m.*")
+    got = {m["g"]: (m["n"], m["corr"]) for m in moments.merge(parts, ["g"]).select("g", "n", moments.correlation().alias("corr")).collect()}
+    for g in (0, 1):
+        both = pd.DataFrame([x[2:] for x in rows if x[1] == g], columns=["x", "y"]).dropna()
+        assert got[g] == (len(both), pytest.approx(both["x"].corr(both["y"]), abs=1e-9))
+    assert got[2] == (0, None)

@@ -5,12 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from factorlab.functions.safe import corr_safe, div, pair_count
 from factorlab.functions.windows import Session
 
+from .sessions import correlation, ranks, table_by_session
 from .targets import HORIZONS
 
 
@@ -59,17 +62,24 @@ def compare(first: DataFrame, second: DataFrame, names: tuple[str, str]) -> Data
 
 
 def daily_spearman(df: DataFrame, factors: list[str], target: str, keys: list[str] | None = None, least: int = 20, keep_short: bool = False) -> DataFrame:
-    """keys, session, factor, n, ic of days with `least` pairs or more and a defined IC; with keep_short the others stay, with a NULL."""
+    """keys, session, factor, n, ic of days with `least` pairs or more and a defined IC; with keep_short the others stay, with a NULL.
+
+    A session is ranked whole, all factors from the same rows: bars aren't laid out by factor, and nothing is sorted beyond a session.
+    """
     by = Session(keys).by
-    pairs = tidy(df, factors, target, by)
-    both = pairs.filter("value is not null and target is not null")
-    group = ["factor", *by]
-    ranked = both.withColumns({"_x": average_rank("value", group), "_y": average_rank("target", group)})
-    out = ranked.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), corr_safe("_x", "_y").alias("ic")).select(*by, "factor", "n", F.when((F.col("n") >= least) & ~F.isnan("ic"), F.col("ic")).alias("ic"))
-    if not keep_short:
-        return out.filter("ic is not null")
-    days = df.select(*by).distinct().select(*by, F.explode(F.array(*map(F.lit, factors))).alias("factor"))
-    return days.join(out, [*by, "factor"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+    def session(table: pa.Table) -> dict:
+        value = lambda c: np.array(table.column(c).cast(pa.float64()).fill_null(np.nan))
+        y, n, ic = value(target), [], []
+        for f in factors:
+            x = value(f)
+            both = ~(np.isnan(x) | np.isnan(y))
+            n.append(int(both.sum()))
+            ic.append(correlation(ranks(x[both]), ranks(y[both])) if n[-1] >= least else np.nan)
+        return {"factor": factors, "n": n, "ic": np.array(ic, dtype=np.float64)}
+
+    out = table_by_session(df.select(*by, "ts", target, *[f for f in factors if f != target]), session, "factor string, n long, ic double", keys)
+    return out if keep_short else out.filter("ic is not null")
 
 
 def ic_summary(daily: DataFrame) -> DataFrame:

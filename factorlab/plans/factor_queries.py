@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from factorlab.functions.lineage import kept
 from factorlab.functions.windows import Session
-from factorlab.operators import evaluate, factors, indicators, select, series, signals, targets
+from factorlab.operators import evaluate, factors, history, indicators, select, series, sessions, signals, targets
 from factorlab.sources.bars import bars_daily, bars_intraday, bars_symbol
+from factorlab.sources.features import FeatureTable
 
 from . import bar_sql as sql
 from .bar_sql import KEYS, P, W, full, lag, lead, pearson, roll, rounded, with_, zscore
-from .registry import query
+from .registry import ORACLES, query
 
 READ = {"D": bars_daily, "I": bars_intraday, "S": bars_symbol}
 H = (5, 15, 30)
@@ -431,6 +437,63 @@ def ic_extremes_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _extremes(evaluate.ic_extremes(_minutes(spark, sf_dir), "best"))
 
 
+def _history(spark: SparkSession, sf_dir: str) -> history.IcHistory:
+    """The sessions of a month added in three batches, the last of them twice."""
+    df = kept(_intraday_scored(spark, sf_dir).select("symbol", "session", "ts", *_F5, "target_return_5"))
+    found = history.IcHistory(spark, f"{spark.sparkContext.getCheckpointDir()}/history-{uuid.uuid4().hex}", _F5, "target_return_5")
+    first = df.agg(F.min("session")).first()[0]
+    if first is None:
+        raise ValueError("there are no bars")
+    tenth = F.least(F.floor(F.datediff("session", F.lit(first)) / 10), F.lit(2))
+    for k in (0, 1, 2, 2):
+        found.add(df.filter(tenth == k), f"batch-{k}")
+    return found
+
+
+@query("ic_history_moving", f"{with_('I', *_INTRA, _unpivoted('f2', _F5, 'target_return_5'), *_spearman(30))}, {_DAYS}\nSELECT {_DAY}, {rounded({'ic': 'ic', 'ic_moving': _ROLL})} FROM days")
+def ic_history_moving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _day(_history(spark, sf_dir).moving(), "ic_moving").drop("n")
+
+
+@query("ic_history_minutes", f"{_MINUTE}\nSELECT factor, minute_index, n, {rounded({'ic': 'ic'})} FROM minutes WHERE n > 0")
+def ic_history_minutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _history(spark, sf_dir).by_minute().select("factor", F.col("minute_index").cast("int").alias("minute_index"), "n", (F.round("ic", 6) + 0.0).alias("ic"))
+
+
+# -- functions of a session, and kept features
+
+
+def _drawdown(table: pa.Table) -> dict:
+    """How far the close is below the session's highest so far, and the session's largest fall until now."""
+    close = np.array(table.column("close"), dtype=np.float64)
+    below = close / np.maximum.accumulate(close) - 1
+    return {"drawdown": below, "worst": np.minimum.accumulate(below)}
+
+
+_TOP_SO_FAR = f"tops AS (SELECT *, close / max(close) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS drawdown FROM bars)"
+simple(
+    "session_drawdown",
+    "S",
+    lambda b: sessions.add_by_session(b, _drawdown, "drawdown double, worst double"),
+    ["drawdown", "worst"],
+    f"{with_('S', _TOP_SO_FAR)}\nSELECT {KEYS}, {rounded({'drawdown': 'drawdown', 'worst': f'min(drawdown) OVER ({W} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)'})} FROM tops",
+)
+
+
+def _stored(bars: DataFrame) -> DataFrame:
+    """Momentum that was written to a feature table, its last session twice, and the factors that windows make of what is read back."""
+    spark = bars.sparkSession
+    mark = uuid.uuid4().hex
+    df = kept(bars)
+    table = FeatureTable(spark, f"{spark.sparkContext.getCheckpointDir()}/features-{mark}", f"features_{mark}", buckets=8)
+    table.write(df)
+    last = df.agg(F.max("session")).first()[0]
+    table.write(df.filter(F.col("session") == F.lit(last)))
+    return factors.reversal_momentum_factor(factors.momentum_factor(table.read()))
+
+
+simple("feature_store_factors", "S", _stored, ["momentum_factor", "reversal_momentum_factor"], ORACLES["f_momentum_factors"])
+
 _G = "factor, symbol, session"
 _QUINTILE = f"""{SCORED}, {_unpivoted('s2', _FZ, 'target_return_30')}, both_t AS MATERIALIZED (SELECT * FROM long WHERE value IS NOT NULL AND target IS NOT NULL),
 edges AS (SELECT {_G}, count(*) AS n, quantile_cont(value, [0.0, 0.2, 0.4, 0.6, 0.8, 1.0]) AS e FROM both_t GROUP BY {_G}),

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 import math
+import os
 import random
 
 import numpy as np
 import pandas as pd
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -15,8 +17,9 @@ from factorlab.functions import moments
 from factorlab.functions.safe import corr_safe, div, require_columns
 from factorlab.functions.scan import Scan, affine, smoothed
 from factorlab.functions.windows import Session
-from factorlab.operators import evaluate, factors, indicators, select, series, signals, targets
+from factorlab.operators import evaluate, factors, history, indicators, select, series, sessions, signals, targets
 from factorlab.sources.bars import SCHEMA, prepare, read_bars, write_features
+from factorlab.sources.features import FeatureTable
 
 DAY = dt.datetime(2024, 1, 2, 8)
 
@@ -368,3 +371,71 @@ def test_moments_merge(spark):
         both = pd.DataFrame([x[2:] for x in rows if x[1] == g], columns=["x", "y"]).dropna()
         assert got[g] == (len(both), pytest.approx(both["x"].corr(both["y"]), abs=1e-9))
     assert got[2] == (0, None)
+
+
+def test_feature_table_is_rewritten_by_session(spark, tmp_path):
+    """A rerun replaces its sessions and leaves the others; windows over what is read need no Exchange, and other folders aren't read."""
+    b = bars(spark, walk(30), walk(30, 2), walk(30, 3))
+    days = sorted({r["session"] for r in b.select("session").collect()})
+    table = FeatureTable(spark, str(tmp_path / "t"), f"features_{os.getpid()}", buckets=3, rows_per_file=20).write(b)
+    again = b.filter(F.col("session") == F.lit(days[1])).withColumn("close", F.lit(7.0))
+    for _ in range(2):
+        table.write(again)
+    got = table.read()
+    assert got.count() == 90 and got.filter("close = 7.0").select("session").distinct().collect()[0][0] == days[1]
+    assert all(len(pq.read_table(p)) <= 20 for p in (tmp_path / "t").rglob("*.parquet"))
+    scored = factors.momentum_z(table.read(), (5,))
+    plan = scored._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    want = factors.momentum_z(b.filter(F.col("session") != F.lit(days[1])), (5,)).select("ts", "momentum_z_5").collect()
+    assert sorted(map(tuple, scored.filter(F.col("session") != F.lit(days[1])).select("ts", "momentum_z_5").collect()), key=str) == sorted(map(tuple, want), key=str)
+    part = table.read(days[1], days[1])
+    assert part.count() == 30 and "PartitionFilters: [isnotnull(day" in part._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(ValueError, match="other columns"):
+        table.write(b.withColumn("more", F.lit(1)))
+    # another table of the same path finds what is there
+    other = FeatureTable(spark, str(tmp_path / "t"), f"again_{os.getpid()}", buckets=3).write(again)
+    assert other.read().count() == 90
+    assert table.remove([days[0]]).read().count() == 60
+    with pytest.raises(ValueError, match="written"):
+        FeatureTable(spark, str(tmp_path / "none"), "nothing").read()
+
+
+def test_functions_of_a_session(spark):
+    b = bars(spark, walk(25), walk(40, 2)).repartition(5)
+    got = sessions.add_by_session(b, lambda t: {"place": np.arange(t.num_rows), "close": [float(x or 0) for x in t.column("close").to_pylist()]}, "place long, close double")
+    want = b.withColumn("place", Session().ordinal().cast("long"))
+    assert sorted(map(str, got.select("ts", "place", "close").collect())) == sorted(map(str, want.select("ts", "place", "close").collect()))
+    counts = sessions.table_by_session(b, lambda t: {"k": [1, 2], "n": [t.num_rows] * 2}, "k int, n long")
+    assert sorted((r["k"], r["n"]) for r in counts.collect()) == [(1, 25), (1, 40), (2, 25), (2, 40)]
+    assert sessions.add_by_session(b.filter("false"), lambda t: {"x": []}, "x double").count() == 0
+    for bad, match in ((lambda t: {"y": [1.0]}, "returns y"), (lambda t: {"x": [1.0]}, "rows"), (lambda t: {"x": ["a"] * t.num_rows}, "x is not")):
+        with pytest.raises(Exception, match=match):
+            sessions.add_by_session(b, bad, "x double").collect()
+    with pytest.raises(ValueError, match="ts"):
+        sessions.add_by_session(b.drop("ts"), lambda t: {}, "x double")
+
+
+def test_ranks_share_ties():
+    r = np.random.default_rng(1)
+    for x in (np.zeros(0), np.ones(5), r.integers(0, 6, 200) * 1.0, r.normal(size=50)):
+        assert sessions.ranks(x).tolist() == pd.Series(x).rank().tolist()
+
+
+def test_history_reads_what_is_added_only(spark, tmp_path):
+    """Batches added one by one give what all sessions at once give; a batch added again changes nothing."""
+    r = random.Random(3)
+    days = [DAY.date() + dt.timedelta(days=k) for k in range(8)]
+    rows = [("ALL", d, dt.datetime.combine(d, dt.time(8)) + dt.timedelta(minutes=m), r.choice([None, 1.0, 2.0, r.random()]), 1e6 + r.random(), None if m > 35 else r.gauss(0, 1)) for d in days for m in range(40)]
+    df = spark.createDataFrame(rows, "symbol string, session date, ts timestamp_ntz, a double, b double, y double")
+    whole = history.IcHistory(spark, str(tmp_path / "whole"), ["a", "b"], "y", least=5).add(df, "all")
+    found = history.IcHistory(spark, str(tmp_path / "parts"), ["a", "b"], "y", least=5)
+    for name, part in (("b0", days[:5]), ("b1", days[5:6]), ("b2", days[6:]), ("b1", days[5:6])):
+        seen = df.filter(F.col("session").isin(part)).withColumn("a", F.when(F.assert_true(F.col("session").isin(part)).isNull(), F.col("a")))
+        found.add(seen, name)
+    close = lambda x: [tuple(round(v, 6) if isinstance(v, float) else v for v in row) for row in sorted(map(tuple, x.collect()), key=str)]
+    for of in ("daily", "by_minute", "moving"):
+        assert close(getattr(found, of)()) == close(getattr(whole, of)())
+    assert close(found.by_minute()) == close(evaluate.ic_by_minute(df, ["a", "b"], "y").select("factor", "minute_index", "n", "ic"))
+    assert close(found.daily().select("symbol", "session", "factor", "n", "ic")) == close(evaluate.daily_pearson(df, ["a", "b"], "y"))
+    assert [x for x in close(found.moving(3)) if x[-1] is not None]

@@ -153,10 +153,13 @@ def held_out(doc_id: str = "doc_id"):
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
-    """Fits on SAMPLE labelled rows outside the held-out fold at most. Null labels are left out."""
+    """Fits on SAMPLE labelled rows outside the held-out fold at most. Null labels are left out. Of several texts of one doc_id a label is of the
+    one with the least hash, so no more rows than labels come to the driver."""
     sample = labels.filter(~held_out() & F.col("quality").isNotNull()).select("doc_id", F.col("quality").cast("int").alias("quality")).distinct().orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
     # the sample's size is bounded, so that it can go to where the texts are
-    rows = docs.select("doc_id", "text", "n_chars").join(F.broadcast(sample), "doc_id").mapInArrow(_featured, "doc_id long, quality int, index binary, value binary").collect()
+    found = docs.select("doc_id", F.struct(F.xxhash64("text").alias("h"), "text", "n_chars").alias("row")).join(F.broadcast(sample), "doc_id")
+    one = found.groupBy("doc_id", "quality").agg(F.min("row").alias("row")).select("doc_id", "row.text", "row.n_chars", "quality")
+    rows = one.mapInArrow(_featured, "doc_id long, quality int, index binary, value binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["quality"], r["index"]))
     index = [np.frombuffer(r["index"], np.int32) for r in rows]
     value = [np.frombuffer(r["value"], np.float32) for r in rows]

@@ -227,17 +227,21 @@ def _name(level: int, *columns: str) -> Column:
 
 
 def judge(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
-    """doc_id, the counts, base_failed, distance (squared; null where base_failed) and kept, one row for each row of docs; `extra` columns stay.
+    """doc_id, the counts, base_failed, distance (squared; null where base_failed) and kept, one row for each row of docs; `extra` columns stay,
+    but for those with the name of one of these.
 
     Documents that fail a base rule are not kept and take no part in estimates. A group of n documents has an estimate of its own with a
     weight of n / (n + PRIOR); the rest is its language's, of which the same holds against all documents. Null languages and sources
     are groups of their own. An empty table gives no rows.
     """
     counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    stay = [c for c in extra or [] if c != "doc_id"]
+    stay = [c for c in extra or [] if c not in ("doc_id", *counts, "distance", "kept")]
+    # they travel as one, so none can be taken for one of this module's
+    carried = [F.struct(*stay).alias("_stay")] if stay else []
+    docs = docs.select("doc_id", "text", "lang", "source", *carried)
     with Scratch(docs.sparkSession) as scratch:
         named = statistics(docs).withColumns({"_all": F.lit(0).cast("long"), "_lang": _name(1, "lang"), "_group": _name(2, "lang", "source")})
-        table = scratch.written(named.select("doc_id", *stay, *counts, "_all", "_lang", "_group", *[v.cast("double").alias(x) for x, v in zip(X, vector(), strict=True)]))
+        table = scratch.written(named.select("doc_id", *(["_stay"] if stay else []), *counts, "_all", "_lang", "_group", *[v.cast("double").alias(x) for x, v in zip(X, vector(), strict=True)]))
         fit = table.filter(~F.col("base_failed"))
         names = scratch.written(fit.select("_all", "_lang", "_group").distinct())
         few = 3 * names.count() <= BROADCAST
@@ -248,4 +252,4 @@ def judge(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
         groups = scratch.written(_with_inverse(groups, ["_group"]))
         distance = F.when(~F.col("base_failed"), F.col("_d2"))
         kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= CUT, F.lit(True))
-        return written(_apart(table, groups, few, "left").select("doc_id", *stay, *counts, distance.alias("distance"), kept.alias("kept")))
+        return written(_apart(table, groups, few, "left").select("doc_id", *[F.col("_stay")[c].alias(c) for c in stay], *counts, distance.alias("distance"), kept.alias("kept")))

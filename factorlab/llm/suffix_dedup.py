@@ -28,6 +28,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql import types as T
 
 from .common import BYTE_VALUE, PIECE, U64, Scratch, _tables, mix, sliced, written
@@ -264,12 +265,18 @@ def removal_digest(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataF
 
 
 def remove_repeats(docs: DataFrame, size: int = SIZE, gram: int = GRAM) -> DataFrame:
-    """docs with the repeated bytes cut from `text` and n_chars set to what is left; a character that is cut in part goes whole."""
+    """docs with the repeated bytes cut from `text` and n_chars, if there is such a column, set to what is left; a character that is cut in part
+    goes whole. All other columns stay as they are, whatever their names."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches, "text", 4 << 20):
             texts = [_kept(*x)[1].decode(errors="ignore") for x in zip(batch.column("text").to_pylist(), batch.column("_spans").to_pylist(), strict=True)]
             given = {"text": pa.array(texts, pa.string()), "n_chars": pa.array([len(x) for x in texts], pa.int64())}
-            yield pa.RecordBatch.from_arrays([given.get(name, batch.column(k)) for k, name in enumerate(batch.schema.names) if name != "_spans"], [x for x in batch.schema.names if x != "_spans"])
-
-    return _with_spans(docs, size, gram).mapInArrow(each, docs.schema)
+            others = batch.column("_row").flatten() if kept else []
+            given = dict(zip(kept, others)) | {"doc_id": batch.column("doc_id")} | {c: x.cast(batch_types[c]) for c, x in given.items() if c in batch_types}
+            yield pa.RecordBatch.from_arrays([given[c] for c in docs_columns], docs_columns)
+
+    # the caller's columns travel as one, so none can be taken for one of this module's
+    docs_columns, batch_types = docs.columns, {f.name: to_arrow_type(f.dataType) for f in docs.schema if f.name in ("text", "n_chars")}
+    kept = [c for c in docs_columns if c not in ("doc_id", "text", "n_chars")]
+    return _with_spans(docs.select("doc_id", "text", *([F.struct(*kept).alias("_row")] if kept else [])), size, gram).mapInArrow(each, docs.schema)

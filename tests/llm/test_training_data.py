@@ -698,4 +698,32 @@ def test_stages_of_odd_rows(spark):
 
 
 def test_registration():
-    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 11))
+    assert {int(q[2:].split("_")[0]) for q in QUERIES} == set(range(1, 14))
+
+
+def test_columns_with_the_names_of_helpers(spark):
+    """A caller's columns may have any name; they come back as they were."""
+    names = ["_h", "_spans", "_row", "_d", "_hash", "h", "a", "b", "lang", "source", "distance", "_x0", "_d2", "_group", "_stay", "words"]
+    r = random.Random(9)
+    passage = prose(r, 120)
+    table = [(k, f"{prose(r, 70)} {passage}" if k % 2 else prose(r, 90), 3, *[f"{c}{k}" for c in names]) for k in range(8)]
+    df = spark.createDataFrame(table, "doc_id long, text string, n_chars int, " + ", ".join(f"{c} string" for c in names))
+    cut = {r["doc_id"]: r for r in remove_repeats(df).collect()}
+    assert remove_repeats(df).columns == df.columns and cut[1]["n_chars"] == len(cut[1]["text"]) < len(table[1][1]) and cut[0]["text"] == table[0][1]
+    assert all(cut[row[0]][c] == f"{c}{row[0]}" for row in table for c in names)
+    assert remove_repeats(df.select("text", "doc_id")).columns == ["text", "doc_id"]
+    stay = [c for c in names if c != "distance"]
+    judged = judge(df, names).collect()
+    assert all(x[c] == f"{c}{x['doc_id']}" for x in judged for c in stay) and all(x["distance"] is None or x["distance"] >= 0 for x in judged)
+
+
+def test_labels_of_repeated_ids_bring_one_text_each(spark, monkeypatch):
+    """Rows that share a labelled doc_id don't add to what comes to the driver, and which one counts doesn't depend on their order."""
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 5][:8]
+    table = [(k, f"text {j} of {k}", 5) for k in ids for j in range(40)]
+    labels = spark.createDataFrame([(k, k % 2) for k in ids], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(fm_classifier, "fit", lambda x, y, fit=fm_classifier.fit: (seen.append((len(y), x.index.tobytes(), x.value.tobytes())), fit(x, y))[1])
+    for parts in (1, 5):
+        fm_classifier.train(spark.createDataFrame(table, "doc_id long, text string, n_chars long").repartition(parts), labels)
+    assert seen[0][0] == len(ids) and seen[0] == seen[1]

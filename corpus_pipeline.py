@@ -6,7 +6,6 @@ again for the next. All but the last return the columns of documents.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from functools import reduce
 
@@ -16,7 +15,7 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factorlab.llm.common import WORD, read, shared_dir
+from factorlab.llm.common import WORD, Scratch, read
 from factorlab.llm.jaccard_join import link_components
 from factorlab.llm.mixing import mix_sources
 from factorlab.llm.quality_rules import judge
@@ -34,6 +33,12 @@ def _same(a: DataFrame, b: DataFrame, keys: list[str]) -> Column:
     return reduce(lambda x, y: x & y, [a[k].eqNullSafe(b[k]) for k in keys])
 
 
+def _first_of(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Of rows with equal keys the one with the least lang, source, n_chars and text (nulls first), so that reruns agree."""
+    others = [c for c in ("lang", "source", "n_chars", "text", "doc_id") if c not in keys]
+    return df.groupBy(*keys).agg(F.min(F.struct(*others)).alias("_row")).select(*keys, "_row.*")
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base rules or the robust outlier test reject go. Rows are judged one by one, whatever their doc_id: a row
     without one, or with that of a rejected text, stays if it is kept itself."""
@@ -50,7 +55,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     some = keyed.filter("_words")
     keys = ["doc_id", "_h"]
     first = link_components(docs).filter("stays and n_shingles > 0").select("doc_id", F.col("h").alias("_h")).distinct()
-    one = some.join(first, _same(some, first, keys), "left_semi").dropDuplicates(keys)
+    one = _first_of(some.join(first, _same(some, first, keys), "left_semi"), keys)
     return one.select(*COLUMNS).union(keyed.filter("not _words").select(*COLUMNS))
 
 
@@ -90,7 +95,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keys = ["doc_id", "source", "_h"]
     takes = mix_sources(docs).filter("taken > 0").groupBy("doc_id", "source", F.col("h").alias("_h")).agg(F.collect_list(F.struct("passes", "spans")).alias("_takes"))
     takes = takes.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)})
-    once = docs.select(*COLUMNS, F.xxhash64("text").alias("_h")).dropDuplicates(keys)
+    once = _first_of(docs.select(*COLUMNS, F.xxhash64("text").alias("_h")), keys)
     match = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     return once.join(takes, match).select(*COLUMNS, "_takes").mapInArrow(_cut, "doc_id long, text string, lang string, source string, n_chars long")
 
@@ -106,12 +111,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents of sf_dir; what each stage but the last returns is written to the shared folder."""
+    """All stages over the documents of sf_dir; what each stage but the last returns is written to the shared folder, and deleted when the
+    next one's is there. The last of these tables stays, as the result reads it."""
     docs = read(spark, sf_dir, "documents")
-    base = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs.write.parquet(f"{base}/{k}-{name}")
-            docs = spark.read.parquet(f"{base}/{k}-{name}")
-    return docs
+    tables = Scratch(spark)
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, tables.written(stage(spark, docs, sf_dir))
+        tables.drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)

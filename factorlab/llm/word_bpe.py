@@ -18,8 +18,9 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, pairwise
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -32,10 +33,12 @@ from .word_lexicon import Lexicon, compiled
 
 #: A word of the lexicon is at least one in so many words of the corpus; and it has at most so many bytes.
 LEXICON, WORD_BYTES = 200_000, 64
-#: Chunks that a task keeps with their ids before it starts anew, and the bytes of text in a step.
-KEPT, STEP = 150_000, 4 << 20
-#: Symbols in a word from which on merges go by a heap.
-LONG = 48
+#: Chunks and words that a task keeps with their ids before it starts anew, chunks that it counts before it hands them on, and the bytes of
+#: text in a step.
+KEPT, COUNTED, STEP = 300_000, 400_000, 4 << 20
+#: Symbols in a word from which on merges go by a heap; the widest words of the arrays that merge in step, and their rows.
+LONG, WIDTHS, BLOCK = 48, (4, 6, 8, 10, 12, 16, 24, 40), 8192
+NONE = 1 << 40
 
 #: Parts of a text, in order: what is between white space, or the id of a special token.
 Unit = str | int
@@ -70,23 +73,25 @@ class WordBpe:
         for rank, merge in enumerate(model["merges"]):
             a, b = merge.split(" ") if isinstance(merge, str) else merge
             self.pair[vocab[a] * self.n + vocab[b]] = (rank, vocab[a + b])
+        self.keys = np.array(sorted(self.pair), dtype=np.int64)
+        self.ranks = np.array([self.pair[k][0] for k in self.keys.tolist()], dtype=np.int64)
+        self.made = np.array([new for _, new in sorted(self.pair.values())], dtype=np.int64)
+        self.spaced = np.array([self.token.get(i, "") + " " for i in range(self.n)], dtype=object)
         self.word = regex.compile(splitters[0]["pattern"]["Regex"])
+        self.line = regex.compile(splitters[0]["pattern"]["Regex"] + "|\n")
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.cut = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
-        unknown = [c for c in range(0x110000) if unicodedata.category(chr(c)) == "Cn"]
-        runs: list[list[int]] = []
-        for c in unknown:
-            if runs and runs[-1][1] == c - 1:
-                runs[-1][1] = c
-            else:
-                runs.append([c, c])
-        self.unknown = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in runs) + "]")
+        self.unassigned = np.array([unicodedata.category(chr(c)) == "Cn" for c in range(0x110000)])
         self.space, self.controls = regex.compile(r"\s+"), re.compile("[\x1c-\x1f]")
         self.path, self.library = path, None
 
+    def _unknown(self, text: str) -> bool:
+        """Whether a text has code points that Python's Unicode tables don't know."""
+        return not text.isascii() and bool(self.unassigned[np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)].any())
+
     def words(self, chunk: str) -> list[str]:
         """The words of a text without special tokens."""
-        if not chunk.isascii() and self.unknown.search(chunk):
+        if self._unknown(chunk):
             if self.library is None:
                 self.library = Tokenizer.from_file(self.path)
             found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(chunk))
@@ -95,6 +100,16 @@ class WordBpe:
         # lower case letter by letter: Python's own looks at the neighbours of a capital sigma
         return self.word.findall("".join(map(str.lower, chunk)) if "Σ" in chunk else chunk.lower())
 
+    def words_of(self, chunks: list[str]) -> list[list[str]]:
+        """The words of each chunk; chunks have no white space, so all are split as the lines of one text."""
+        text = "\n".join(chunks)
+        if self._unknown(text):
+            return [self.words(c) for c in chunks]
+        text = unicodedata.normalize("NFC", text)
+        found = self.line.findall("".join(map(str.lower, text)) if "Σ" in text else text.lower())
+        ends = [k for k, w in enumerate(found) if w == "\n"]
+        return [found[a:b] for a, b in zip([0, *[k + 1 for k in ends]], [*ends, len(found)])] if chunks else []
+
     def units(self, text: str) -> list[Unit]:
         """A text's chunks between white space, and special tokens. No word and no composed letter goes over white space."""
         parts = self.cut.split(text) if self.cut and any(x in text for x in self.special) else [text]
@@ -127,6 +142,62 @@ class WordBpe:
                 ranks[k - 1] = pair.get(ids[k - 1] * n + ids[k], none)
         return tuple(ids)
 
+    def merged_together(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """How many ids each word has by merges alone, and all words' ids behind one another. Short words are rows of one array and merge in step."""
+        size = np.array([len(w) for w in words], dtype=np.int64)
+        count, found = np.zeros(len(words), np.int64), []
+        for low, high in pairwise((0, *WIDTHS)):
+            of = np.flatnonzero((size > low) & (size <= high))
+            for a in range(0, len(of), BLOCK):
+                rows = of[a : a + BLOCK]
+                ids, n = self._in_step([words[k] for k in rows.tolist()], high)
+                count[rows] = n
+                found.append((rows, n, ids))
+        for k in np.flatnonzero(size > WIDTHS[-1]).tolist():
+            ids = np.array(self.merged(words[k]), dtype=np.uint32)
+            count[k] = len(ids)
+            found.append((np.array([k]), count[[k]], ids))
+        start = np.cumsum(count) - count
+        out = np.zeros(int(count.sum()), np.uint32)
+        for rows, n, ids in found:
+            out[np.repeat(start[rows] - (np.cumsum(n) - n), n) + np.arange(len(ids))] = ids
+        return count, out
+
+    def _rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        key = np.where((left < 0) | (right < 0), -1, left * self.n + right)
+        at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        return np.where(self.keys[at] == key, self.ranks[at], NONE)
+
+    def _in_step(self, words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+        size = np.array([len(w) for w in words])
+        text = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
+        column = np.arange(width)
+        ids = np.where(column < size[:, None], np.array(self.inner)[text], -1)
+        every = np.arange(len(words))
+        ids[every, size - 1] = np.array(self.last)[text[every, size - 1]]
+        rank = np.full((len(words), width), NONE)
+        rank[:, :-1] = self._rank(ids[:, :-1], ids[:, 1:])
+        done = np.full((len(words), width), -1)
+        live = every
+        while True:
+            k = rank.argmin(axis=1)
+            best = rank[np.arange(len(live)), k]
+            on = best < NONE
+            done[live[~on]] = ids[~on]
+            live, ids, rank, k, best = live[on], ids[on], rank[on], k[on], best[on]
+            if not len(live):
+                break
+            behind = column > k[:, None]
+            ids = np.where(behind, np.pad(ids[:, 1:], ((0, 0), (0, 1)), constant_values=-1), ids)
+            rank = np.where(behind, np.pad(rank[:, 1:], ((0, 0), (0, 1)), constant_values=NONE), rank)
+            row = np.arange(len(live))
+            new = ids[row, k] = self.made[best]
+            rank[row, k] = self._rank(new, np.where(k + 1 < width, ids[row, np.minimum(k + 1, width - 1)], -1))
+            some = row[k > 0]
+            rank[some, k[some] - 1] = self._rank(ids[some, k[some] - 1], new[some])
+        there = done >= 0
+        return done[there].astype(np.uint32), there.sum(axis=1)
+
     def _by_heap(self, ids: list[int]) -> tuple[int, ...]:
         n, pair = self.n, self.pair
         after, before = [*range(1, len(ids)), -1], [-1, *range(len(ids) - 1)]
@@ -150,32 +221,46 @@ class WordBpe:
 
 
 class Coder:
-    """Ids and tokens of chunks, whose words are in the lexicon or merged, as far as they are kept."""
+    """Ids of chunks, whose words are in the lexicon or merged, as far as they are kept."""
 
     def __init__(self, bpe: WordBpe, lexicon: Lexicon | None) -> None:
         self.bpe, self.lexicon = bpe, lexicon
+        #: Ids, as little-endian 32-bit numbers, of chunks and of words.
         self.ids: dict[Unit, bytes] = {}
-        self.shown: dict[Unit, list[str]] = {}
+        self.word_ids: dict[str, bytes] = {}
 
     def learn(self, units: set[Unit]) -> None:
-        if len(self.ids) > KEPT:
-            self.ids, self.shown = {}, {}
+        if len(self.ids) + len(self.word_ids) > KEPT:
+            self.ids, self.word_ids = {}, {}
         new = [u for u in units if u not in self.ids]
-        split = [self.bpe.words(u) if isinstance(u, str) else [] for u in new]
-        distinct = list({w for words in split for w in words})
-        raw = [w.encode() for w in distinct]
-        known = self.lexicon.ids([w if len(w) <= WORD_BYTES else b"" for w in raw]) if self.lexicon else [None] * len(raw)
-        of = {w: tuple(k.tolist()) if k is not None else self.bpe.merged(r) for w, r, k in zip(distinct, raw, known)}
-        for unit, words in zip(new, split):
-            ids = (unit,) if isinstance(unit, int) else tuple(chain.from_iterable(of[w] for w in words))
-            self.ids[unit] = b"".join(i.to_bytes(4, "little") for i in ids)
-            self.shown[unit] = [" ".join(self.bpe.token[i] for i in ids)] if ids else []
+        self.ids.update((u, u.to_bytes(4, "little")) for u in new if isinstance(u, int))
+        new = [u for u in new if isinstance(u, str)]
+        split = self.bpe.words_of(new)
+        known = self.word_ids
+        self._learn_words(list(set(chain.from_iterable(split)).difference(known)))
+        self.ids.update((unit, known[words[0]] if len(words) == 1 else b"".join([known[w] for w in words])) for unit, words in zip(new, split))
+
+    def _learn_words(self, words: list[str]) -> None:
+        raw = [w.encode() for w in words]
+        if self.lexicon:
+            there, count, ids = self.lexicon.ids([w if len(w) <= WORD_BYTES else b"" for w in raw])
+            self._keep([w for w, t in zip(words, there.tolist()) if t], count[there], ids)
+            others = np.flatnonzero(~there).tolist()
+        else:
+            others = range(len(words))
+        self._keep([words[k] for k in others], *self.bpe.merged_together([raw[k] for k in others]))
+
+    def _keep(self, words: list[str], count: np.ndarray, ids: np.ndarray) -> None:
+        data = ids.astype("<u4").tobytes()
+        ends = (4 * np.cumsum(count)).tolist()
+        self.word_ids.update((word, data[a:b]) for word, a, b in zip(words, [0, *ends], ends))
 
     def text_ids(self, units: list[Unit]) -> bytes:
         return b"".join(map(self.ids.__getitem__, units))
 
-    def text_shown(self, units: list[Unit]) -> str:
-        return " ".join(chain.from_iterable(map(self.shown.__getitem__, units)))
+    def shown(self, ids: bytes) -> str:
+        """The tokens with a space between each two."""
+        return "".join(self.bpe.spaced[np.frombuffer(ids, "<u4")].tolist())[:-1]
 
 
 def _counted(path: str):
@@ -186,8 +271,8 @@ def _counted(path: str):
 
         def flush() -> pa.RecordBatch:
             words: dict[str | None, int] = {}
-            for chunk, n in chunks.items():
-                for w in bpe.words(chunk):
+            for found, n in zip(bpe.words_of(list(chunks)), chunks.values()):
+                for w in found:
                     w = w if len(w) <= WORD_BYTES and len(w.encode()) <= WORD_BYTES else None
                     words[w] = words.get(w, 0) + n
             rows = list(words.items())
@@ -197,7 +282,7 @@ def _counted(path: str):
         for batch in sliced(batches, "text", STEP):
             for text in batch.column("text").to_pylist():
                 chunks.update(bpe.units(text or ""))
-                if len(chunks) > KEPT:
+                if len(chunks) > COUNTED:
                     for i in bpe.special.values():
                         del chunks[i]
                     yield flush()
@@ -234,7 +319,7 @@ def _encoded(path: str, lexicon: str, with_ids: bool):
             split = [bpe.units(t or "") for t in batch.column("text").to_pylist()]
             coder.learn({u for units in split for u in units})
             ids = [coder.text_ids(units) for units in split]
-            shown = [coder.text_shown(units) for units in split]
+            shown = [coder.shown(x) for x in ids]
             named = {"n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids_sha256": pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()), "decoded_sha256": pa.array([hashlib.sha256(x.encode()).hexdigest() for x in shown], pa.string())}
             if with_ids:
                 named |= {"ids": pa.array([memoryview(x).cast("I").tolist() for x in ids], pa.list_(pa.int64())), "decoded": pa.array(shown, pa.string())}

@@ -102,23 +102,24 @@ class Lexicon:
             setattr(self, name, data[start : start + size].view(kind))  # larger types come first, so all are aligned
             start += size
 
-    def ids(self, words: list[bytes]) -> list[np.ndarray | None]:
-        """Each word's output, None for those that the lexicon hasn't. All words take a step at a time."""
-        out: list[np.ndarray | None] = [None] * len(words)
+    def ids(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word is in the lexicon, how many ids it has, and all words' ids behind one another. All words take a step at a time."""
+        there, count = np.zeros(len(words), dtype=bool), np.zeros(len(words), dtype=np.int64)
         if not len(self.edge) or not words:
-            return out
+            return there, count, np.zeros(0, np.uint32)
         size = np.array([len(w) for w in words])
         text = np.frombuffer(b"".join(words), dtype=np.uint8)
         start = np.cumsum(size) - size
         live = np.arange(len(words))
         state = np.full(len(words), self.root, dtype=np.int64)
-        steps: list[tuple[np.ndarray, np.ndarray]] = []  # words and their edges, step by step
-        ended: list[tuple[np.ndarray, np.ndarray]] = []
+        said: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # words, and where in the pool their next ids are
         for k in range(int(size.max()) + 1):
             at_end = size[live] == k
             if at_end.any():
                 good = self.final[state[at_end]] == 1
-                ended.append((live[at_end][good], state[at_end][good]))
+                word, last = live[at_end][good], state[at_end][good]
+                there[word] = True
+                said.append((word, self.final_from[last], self.final_len[last]))
                 live, state = live[~at_end], state[~at_end]
             if not len(live):
                 break
@@ -127,15 +128,13 @@ class Lexicon:
             on = self.edge[edge] == key
             live, edge = live[on], edge[on]
             state = self.target[edge].astype(np.int64)
-            said = self.edge_len[edge] > 0
-            steps.append((live[said], edge[said]))
-        pieces: dict[int, list[np.ndarray]] = {}
-        found = {w: s for ws, ss in ended for w, s in zip(ws.tolist(), ss.tolist())}
-        for ws, es in steps:
-            for w, e in zip(ws.tolist(), es.tolist()):
-                if w in found:
-                    pieces.setdefault(w, []).append(self.pool[self.edge_from[e] : self.edge_from[e] + self.edge_len[e]])
-        for w, s in found.items():
-            rest = self.pool[self.final_from[s] : self.final_from[s] + self.final_len[s]]
-            out[w] = np.concatenate([*pieces.get(w, []), rest])
-        return out
+            said.append((live, self.edge_from[edge], self.edge_len[edge]))
+        word, place, n = (np.concatenate([x[i] for x in said]).astype(np.int64) for i in range(3))
+        some = there[word] & (n > 0)
+        word, place, n = word[some], place[some], n[some]
+        in_order = np.argsort(word, kind="stable")
+        word, place, n = word[in_order], place[in_order], n[in_order]
+        np.add.at(count, word, n)
+        ends = np.cumsum(n)
+        at = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - n, n) + np.repeat(place, n)
+        return there, count, self.pool[at]

@@ -166,6 +166,11 @@ def test_repair(spark, monkeypatch):
 # -- word-level BPE
 
 
+def looked_up(lexicon: Lexicon, words: list[bytes]) -> list[tuple | None]:
+    there, count, ids = lexicon.ids(words)
+    return [tuple(x.tolist()) if t else None for t, x in zip(there, np.split(ids, np.cumsum(count)[:-1]))]
+
+
 def test_lexicon_holds_words_and_no_others(tmp_path):
     r = random.Random(5)
     words = sorted({bytes(r.choice(b"abcd\xff\x00") for _ in range(r.randrange(1, 7))) for _ in range(3000)})
@@ -173,8 +178,7 @@ def test_lexicon_holds_words_and_no_others(tmp_path):
     for table in (of, {}, {b"a": (7,)}):
         path = tmp_path / f"{len(table)}"
         path.write_bytes(compiled(sorted(table.items())))
-        found = Lexicon(str(path)).ids([*words, b"", b"zz"])
-        assert [None if x is None else tuple(x.tolist()) for x in found] == [table.get(w) for w in [*words, b"", b"zz"]]
+        assert looked_up(Lexicon(str(path)), [*words, b"", b"zz"]) == [table.get(w) for w in [*words, b"", b"zz"]]
     # minimal: equal ends are one
     path = tmp_path / "ends"
     path.write_bytes(compiled([(x + b"ingly", (1,)) for x in (b"a", b"b", b"c", b"d")]))
@@ -214,9 +218,7 @@ def test_frequent_words_come_from_the_lexicon(spark):
     df = spark.createDataFrame([(1, "one two two three three three " + "x" * 90)], "doc_id long, text string")
     path = build_lexicon(df, WORDS, 3)  # seven words: those found three times or more
     bpe = WordBpe(WORDS)
-    found = Lexicon(path).ids([b"one", b"two", b"three", b"x" * 90])
-    assert [x is not None for x in found] == [False, False, True, False]
-    assert tuple(found[2].tolist()) == bpe.merged(b"three")
+    assert looked_up(Lexicon(path), [b"one", b"two", b"three", b"x" * 90]) == [None, None, bpe.merged(b"three"), None]
 
 
 def test_long_words_merge_alike(monkeypatch):
@@ -227,6 +229,8 @@ def test_long_words_merge_alike(monkeypatch):
         monkeypatch.setattr(word_bpe, "LONG", limit)
         short.append([bpe.merged(w) for w in words])
     assert short[0] == short[1]
+    count, ids = bpe.merged_together(words)
+    assert [tuple(x.tolist()) for x in np.split(ids, np.cumsum(count)[:-1])] == short[0]
 
 
 # -- vector codes

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations, combinations_with_replacement
 
 import numpy as np
@@ -63,7 +62,7 @@ def dealt_ranks(long: DataFrame, row: list[str], group: str, value: str) -> Data
 def shared_rows(df: DataFrame, columns: list[str]) -> dict[tuple[str, str], int]:
     """How many rows have both columns, for each two of them and for each alone."""
     both = list(combinations_with_replacement(columns, 2))
-    counts = df.agg(*[F.count(F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), 1)).alias(f"_{k}") for k, (a, b) in enumerate(both)]).first()
+    counts = df.agg(*[F.expr(f"count_if(`{a}` IS NOT NULL AND `{b}` IS NOT NULL)").alias(f"_{k}") for k, (a, b) in enumerate(both)]).first()
     return {x: counts[k] for k, p in enumerate(both) for x in (p, p[::-1])}
 
 
@@ -88,8 +87,9 @@ def spearman_pairs(df: DataFrame, columns: list[str], row: list[str]) -> DataFra
     picks = rankings(shared_rows(df, columns), columns)
     number: dict[tuple, int] = {}
     pairs = {(a, b): tuple(number.setdefault((pick, c), len(number)) for c in (a, b)) for (a, b), pick in picks.items()}
-    each = [F.when(reduce(lambda x, y: x & y, [F.col(p).isNotNull() for p in {*pick, c}]), F.struct(F.lit(k).alias("ranking"), F.col(c).alias("value"))) for (pick, c), k in number.items()]
-    long = df.select(*row, F.explode(F.filter(F.array(*each), lambda x: x.isNotNull())).alias("_v")).select(*row, "_v.*")
+    there = lambda pick, c: " AND ".join(f"`{p}` IS NOT NULL" for p in sorted({*pick, c}))
+    each = ", ".join(f"CASE WHEN {there(pick, c)} THEN struct({k} AS ranking, `{c}` AS value) END" for (pick, c), k in number.items())
+    long = df.select(*row, F.expr(f"explode(filter(array({each}), x -> x IS NOT NULL))").alias("_v")).select(*row, "_v.*")
     ranked = dealt_ranks(long, row, "ranking", "value").groupBy(*row).agg(F.collect_list(F.struct("ranking", "rank")).alias("ranks"))
     width = len(number)
 

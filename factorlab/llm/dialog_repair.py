@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import WORD, Scratch, sliced, written
-from .repair_grammar import ASSISTANT, START, SYMBOLS, SYSTEM, USER, WAYS, Grammar, Walk, letters
+from .repair_grammar import ASSISTANT, START, SYMBOLS, SYSTEM, USER, Grammar, Walk, letters
 
 #: Rows in a block are 2 to the power of this.
 BLOCK_BITS = 8

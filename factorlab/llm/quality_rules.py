@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACES, Scratch, written
+from .common import SPACES, Scratch, matched, written
 
 #: The base rules.
 MIN_WORDS, MAX_REPEATED = 50, 50
@@ -27,8 +27,9 @@ CONSISTENT, WITHIN, CONSISTENT_WITHIN = 1.9122, 12.8325, 1.0555
 FIRST_STEPS, STEPS, FALL = 2, 10, 1e-3
 #: Documents that a group's own estimate is weighed against: one of n has a weight of n / (n + PRIOR), its language the rest.
 PRIOR = 30
-#: Estimates (three for a group) that are broadcast; if there can be more they are joined.
-BROADCAST = 20_000
+#: Estimates (three for a group) that are broadcast. If there can be more, those of groups with over one in HOT of the rows are, which are
+#: fewer than HOT estimates, and the others are joined.
+BROADCAST, HOT = 20_000, 1000
 #: Squared distance beyond which a document is an outlier: the 1 - 1e-9 quantile of chi2(5), so that a billion clean documents lose about one.
 CUT = 49.6
 #: Characters that count as symbols.
@@ -145,9 +146,18 @@ def _with_inverse(groups: DataFrame, carry: list[str]) -> DataFrame:
     return groups.selectExpr(*carry, *M, *given, *factor, *inverse, *products, logdet).select(*carry, *M, *[f"_p{i}_{j}" for i, j in LOW], "_logdet")
 
 
-def _apart(rows: DataFrame, groups: DataFrame, few: bool, how: str = "inner") -> DataFrame:
-    """rows with their groups' columns, deviations _y0 ... and the squared distance _d2. A table of few groups is broadcast."""
-    near = rows.join(F.broadcast(groups) if few else groups, "_group", how).selectExpr("*", *[f"{x} - {m} AS {y}" for x, m, y in zip(X, M, Y, strict=True)])
+def _beside(rows: DataFrame, groups: DataFrame, uses: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows with their groups' columns. Without `uses`, the rows of each group, all groups are broadcast; with it only those of groups with
+    many rows are, so that no task gets such a group whole. Groups that `groups` lacks are joined as nulls, so theirs are spread as well."""
+    if uses is None:
+        return rows.join(F.broadcast(groups), "_group", how)
+    found = matched(rows, uses.join(groups.withColumn("_there", F.lit(True)), "_group", "left"), "_group", HOT)
+    return (found if how == "left" else found.filter("_there")).drop("_there")
+
+
+def _apart(rows: DataFrame, groups: DataFrame, uses: DataFrame | None, how: str = "inner") -> DataFrame:
+    """rows with their groups' columns, deviations _y0 ... and the squared distance _d2."""
+    near = _beside(rows, groups, uses, how).selectExpr("*", *[f"{x} - {m} AS {y}" for x, m, y in zip(X, M, Y, strict=True)])
     return near.selectExpr("*", " + ".join(f"{1 if i == j else 2} * _p{i}_{j} * {Y[i]} * {Y[j]}" for i, j in LOW) + " AS _d2")
 
 
@@ -164,9 +174,9 @@ def _estimate(sums: DataFrame, groups: DataFrame, keys: list[str], factor: float
     return found.selectExpr(*carry, *[f"{m} + _s{i} / _n AS {m}" for i, m in enumerate(M)], *cov)
 
 
-def _concentrated(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
+def _concentrated(rows: DataFrame, groups: DataFrame, uses: DataFrame | None) -> DataFrame:
     """One step: the estimates from the nearest SHARE of each group's rows, by the estimates given, and whether the determinant fell."""
-    cells = _apart(rows, groups, few).groupBy(*KEYS, F.floor(F.log2(F.col("_d2") + 1e-6) * NEAR_CELLS).cast("long").alias("_cell")).agg(*_moments())
+    cells = _apart(rows, groups, uses).groupBy(*KEYS, F.floor(F.log2(F.col("_d2") + 1e-6) * NEAR_CELLS).cast("long").alias("_cell")).agg(*_moments())
     own = Window.partitionBy(*KEYS)
     before = F.sum("_n").over(own.orderBy("_cell").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")
     near = cells.withColumn("_before", before / F.sum("_n").over(own)).filter(F.col("_before") < SHARE)
@@ -176,10 +186,10 @@ def _concentrated(rows: DataFrame, groups: DataFrame, few: bool) -> DataFrame:
     return after.withColumn("_fell", F.col("_old") - F.col("_logdet") > FALL).drop("_old")
 
 
-def _starts(rows: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
+def _starts(rows: DataFrame, uses: DataFrame | None, scratch: Scratch) -> DataFrame:
     """Three estimates to start from: medians with median absolute deviations; means with covariances; medians with the covariances of signs."""
     middle = scratch.written(_medians(rows, [F.col(x) for x in X]))
-    about = rows.join(F.broadcast(middle) if few else middle, "_group")
+    about = _beside(rows, middle, uses)
     off = _medians(about, [F.abs(F.col(x) - F.col(m)) for x, m in zip(X, M, strict=True)])
     spread = middle.join(off.withColumnsRenamed({m: f"_o{i}" for i, m in enumerate(M)}), "_group")
     first = spread.selectExpr("_group", "0 AS _start", *M, *[f"pow(1.4826D * _o{i}, 2) AS _c{i}_{j}" if i == j else f"0D AS _c{i}_{j}" for i, j in LOW])
@@ -192,29 +202,35 @@ def _starts(rows: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
     return _with_inverse(first.unionByName(second).unionByName(third), KEYS)
 
 
-def robust(rows: DataFrame, few: bool, scratch: Scratch) -> DataFrame:
+def robust(rows: DataFrame, uses: DataFrame | None, scratch: Scratch) -> DataFrame:
     """_group, _n, centres _m and covariances _c of the reweighted minimum-covariance-determinant estimate, from rows with _group and statistics.
 
     Every start takes FIRST_STEPS concentration steps; the one of least determinant goes on until no group's determinant falls any more. Rows
-    within the 0.975 quantile of the distance make the estimate.
+    within the 0.975 quantile of the distance make the estimate. `uses` is (_group, uses), the rows of each group, where groups are too many to
+    be broadcast.
     """
-    groups = scratch.written(_starts(rows, few, scratch))
+    groups = scratch.written(_starts(rows, uses, scratch))
     for _ in range(FIRST_STEPS):
-        groups = scratch.written(_concentrated(rows, groups, few))
+        groups = scratch.written(_concentrated(rows, groups, uses))
     best = groups.groupBy("_group").agg(F.min(F.struct("_logdet", "_start")).alias("_best")).select("_group", F.col("_best._start").alias("_start"))
     groups, done = scratch.written(groups.join(best, KEYS)), []
     for _ in range(STEPS):
-        after = scratch.written(_concentrated(rows, groups, few))
+        after = scratch.written(_concentrated(rows, groups, uses))
         done.append(after.filter(~F.col("_fell")))
         groups = after.filter("_fell")
         if not groups.limit(1).count():
             break
     groups = scratch.written(reduce(lambda a, b: a.unionByName(b), done, groups))
-    sums = _apart(rows, groups, few).groupBy("_group").agg(*_moments(f"CASE WHEN _d2 <= {WITHIN}D THEN {{}} END"), F.count(F.lit(1)).alias("_all"))
+    sums = _apart(rows, groups, uses).groupBy("_group").agg(*_moments(f"CASE WHEN _d2 <= {WITHIN}D THEN {{}} END"), F.count(F.lit(1)).alias("_all"))
     near = sums.filter("_n > 0")
     return _estimate(near, groups, ["_group"], CONSISTENT_WITHIN, ["_group", "_all AS _n"])
 
 
+def _uses(rows: DataFrame) -> DataFrame:
+    """_group and its number of rows."""
+    return rows.groupBy("_group").agg(F.count(F.lit(1)).alias("uses"))
+
+
 def _leaning(own: DataFrame, on: DataFrame, by: str) -> DataFrame:
     """own's estimates, each weighed against the one of `on` that its column `by` names."""
     on = on.selectExpr(f"_group AS {by}", *[f"{c} AS _on{c}" for c in [*M, *COV]])
@@ -244,12 +260,13 @@ def judge(docs: DataFrame, extra: list[str] | None = None) -> DataFrame:
         table = scratch.written(named.select("doc_id", *(["_stay"] if stay else []), *counts, "_all", "_lang", "_group", *[v.cast("double").alias(x) for x, v in zip(X, vector(), strict=True)]))
         fit = table.filter(~F.col("base_failed"))
         names = scratch.written(fit.select("_all", "_lang", "_group").distinct())
-        few = 3 * names.count() <= BROADCAST
-        estimates = scratch.written(robust(fit.select(*X, F.explode(F.array("_all", "_lang", "_group")).alias("_group")), few, scratch))
+        many = 3 * names.count() > BROADCAST
+        rows = fit.select(*X, F.explode(F.array("_all", "_lang", "_group")).alias("_group"))
+        estimates = scratch.written(robust(rows, scratch.written(_uses(rows)) if many else None, scratch))
         everyone = estimates.filter("_group = 0")
         langs = _leaning(estimates.join(names.select("_all", F.col("_lang").alias("_group")).distinct(), "_group"), everyone, "_all")
         groups = _leaning(estimates.join(names.select("_lang", "_group"), "_group"), scratch.written(langs), "_lang")
         groups = scratch.written(_with_inverse(groups, ["_group"]))
         distance = F.when(~F.col("base_failed"), F.col("_d2"))
         kept = ~F.col("base_failed") & F.coalesce(F.col("_d2") <= CUT, F.lit(True))
-        return written(_apart(table, groups, few, "left").select("doc_id", *[F.col("_stay")[c].alias(c) for c in stay], *counts, distance.alias("distance"), kept.alias("kept")))
+        return written(_apart(table, groups, scratch.written(_uses(table)) if many else None, "left").select("doc_id", *[F.col("_stay")[c].alias(c) for c in stay], *counts, distance.alias("distance"), kept.alias("kept")))

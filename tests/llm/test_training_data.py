@@ -518,6 +518,30 @@ def test_quality_distances(spark):
     assert len(marked) > 80 and {x["doc_id"] for x in got if not x["kept"] and not x["base_failed"]} == {x["doc_id"] for x in fit} & marked
 
 
+def test_quality_of_many_groups(spark, monkeypatch):
+    """With more groups than are broadcast: the same distances, and the rows of a group with a third of all come from all tasks, not one."""
+    r, table = random.Random(33), []
+    for k in range(240):
+        lang, source = ("en", "hot") if k % 3 == 0 else (["en", "fr", None][k % 7 % 3], f"s{k % 25}")
+        table.append((k, " ".join(prose(r, r.randrange(30, 120)).split()) + " #" * (k % 4), lang, source))
+    table += [(1000 + k, "too short", "xx", "rejected") for k in range(120)] + [(None, None, None, None)]
+    docs = spark.createDataFrame(table, DOCUMENTS.split(", lang")[0] + ", lang string, source string").repartition(4)
+    plain = lambda rows: sorted((str(x["doc_id"]), x["kept"], None if x["distance"] is None else round(x["distance"], 6)) for x in rows)
+    want = plain(judge(docs).collect())
+    monkeypatch.setattr(quality_rules, "BROADCAST", 0)
+    monkeypatch.setattr(quality_rules, "HOT", 20)
+    assert plain(judge(docs).collect()) == want
+    # rows of the hot group stay where they are; a join on the group's name would have them in one partition
+    rows = docs.select(F.col("doc_id").alias("_x0"), F.when(F.col("source").isin("hot", "rejected"), F.xxhash64("source")).otherwise(F.xxhash64("lang", "source")).alias("_group"))
+    one = quality_rules._beside(rows, rows.select("_group").distinct().withColumn("_m0", F.lit(0.0)).filter(F.col("_group") != F.xxhash64(F.lit("rejected"))), quality_rules._uses(rows), "left")
+    at = one.groupBy("_group", F.spark_partition_id().alias("p")).count().collect()
+    for name in ("hot", "rejected"):
+        group = spark.sql(f"SELECT xxhash64('{name}') AS g").first()["g"]
+        spread = [x["count"] for x in at if x["_group"] == group]
+        assert len(spread) == 4 and max(spread) < 0.5 * sum(spread)
+    assert one.count() == len(table)
+
+
 def test_repeated_words_of_long_texts(spark, monkeypatch):
     r = random.Random(32)
     w = [r.choice("abcdefgh") * r.randrange(1, 5) for _ in range(6000)] + [f"x{k}" for k in range(2000)]

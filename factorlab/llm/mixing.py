@@ -5,7 +5,8 @@ blocks; seats go to the sources by the highest quotients target / (2k + 1). A so
 blocks; the rest goes to its shards, again by highest quotients, which gives an integer quota for each shard. In a shard the
 blocks are taken in a seeded order, so the result depends on nothing but the rows and the seed.
 
-Only two kinds of table are ever gathered: one row for each source, and, by source, at most SHARDS rows of shards.
+Sources of more than SHARDS shards have them in parts: seats go to the parts, and those of a part to its shards. Only three kinds of table
+are ever gathered: one row for each source, by source at most SHARDS rows of parts, and by part at most SHARDS rows of shards.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, checkpointed
 
-#: Words in a block; words that a shard should have; shards that a source may have at most.
+#: Words in a block; words that a shard should have; shards that are apportioned at once, and parts of so many shards that a source may have.
 BLOCK, SHARD_WORDS, SHARDS = 32, 1 << 16, 4096
+#: Equal rows that are laid out at once.
+CHUNK = 4096
 #: Multipliers of the seeded order of blocks: primes above any number of blocks in a shard.
 PRIMES = (2147483647, 2147483629, 2147483587, 2147483579)
 
@@ -70,14 +73,26 @@ def apportion(parties: DataFrame, by: list[str], votes: str, seats: str, name: s
     return out.drop("_low", "_high", "_sure", "_open", "_won", *[f"_w_{c}" for c in keys])
 
 
+def _numbered(sizes: DataFrame) -> DataFrame:
+    """The same rows; the first of equal rows keeps its hash _at, others have one of their number. A row is all that is known of it, so equal
+    rows are counted and laid out again, in chunks that are dealt out."""
+    keys = ["doc_id", "source", "size", "_at", "h"]
+    counts = sizes.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    chunks = counts.select(*keys, "_n", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(CHUNK).cast("long"))).alias("_from"))
+    dealt = chunks.repartition("_at", "_from")
+    copies = dealt.select(*keys, F.explode(F.sequence("_from", F.least(F.col("_from") + CHUNK, F.col("_n")) - 1)).alias("_copy"))
+    return copies.select("doc_id", "source", "size", F.when(F.col("_copy") == 0, F.col("_at")).otherwise(F.xxhash64("_at", "_copy")).alias("_at"), "h")
+
+
 def plan(docs: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFrame:
     """One row for each document: size, source_size, target, passes, start and end in its shard, and what chooses the blocks.
 
-    Null texts have no words. Documents without words have size 0 and take nothing. Repeated ids are told apart by their text.
+    Null texts have no words. Documents without words have size 0 and take nothing. Repeated ids are told apart by their text. Equal rows
+    are numbered and go to shards by their number, so that many of them do not make one shard.
     """
-    sizes = checkpointed(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_at"), F.xxhash64("text").alias("h")))
+    sizes = checkpointed(_numbered(docs.select("doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), F.xxhash64(F.lit(seed), "doc_id", "text").alias("_at"), F.xxhash64("text").alias("h"))))
     sources = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    goals = targets(sources).withColumn("_n", F.least(F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.lit(1)), F.lit(SHARDS)))
+    goals = targets(sources).withColumn("_n", F.least(F.greatest(F.ceil(F.col("source_size") / SHARD_WORDS), F.lit(1)), F.lit(SHARDS * SHARDS)))
     goals = checkpointed(goals)
     placed = sizes.join(goals.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s").withColumn("_shard", F.pmod(F.col("_at"), F.col("_n")))
     shards = placed.groupBy("source", "_shard").agg(F.sum("size").alias("_words")).withColumn("_blocks", F.ceil(F.col("_words") / block))
@@ -88,7 +103,11 @@ def plan(docs: DataFrame, seed: int = 17, block: int = BLOCK) -> DataFrame:
     quota = quota.withColumn("_fit", F.least(F.round(F.col("_quota") * F.col("_worth") * F.col("_all") / F.col("source_size")), 3 * F.col("_all")))
     quota = quota.select(F.col("source").alias("_s"), "_quota", F.floor(F.col("_fit") / F.col("_all")).cast("long").alias("_passes"), (F.col("_fit") % F.col("_all")).cast("long").alias("_over"))
     shards = shards.join(quota, F.col("source").eqNullSafe(F.col("_s"))).drop("_s").filter("_blocks > 0")
-    dealt = apportion(shards, ["source"], "_blocks", "_over", "_some", ["_shard"])
+    shards = shards.withColumn("_part", F.floor(F.col("_shard") / SHARDS))
+    parts = shards.groupBy("source", "_part", "_over").agg(F.sum("_blocks").alias("_all"))
+    parts = apportion(parts, ["source"], "_all", "_over", "_own", ["_part"]).select(F.col("source").alias("_s"), F.col("_part").alias("_p"), F.least("_own", "_all").alias("_own"))
+    shards = shards.join(parts, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_part") == F.col("_p"))).drop("_s", "_p")
+    dealt = apportion(shards, ["source", "_part"], "_blocks", "_own", "_some", ["_shard"])
     dealt = dealt.select(F.col("source").alias("_s"), F.col("_shard").alias("_sh"), "_words", "_blocks", "_passes", "_quota", F.least("_some", "_blocks").alias("_some"))
     along = Window.partitionBy("source", "_shard").orderBy("_at", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
     placed = placed.withColumn("_end", F.sum("size").over(along)).withColumn("_start", F.col("_end") - F.col("size"))

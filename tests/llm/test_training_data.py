@@ -16,7 +16,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 
-from factorlab.llm import fm_classifier, induced_sorting, jaccard_join, media_ts, quality_rules, suffix_dedup, token_counts, url_filter, warc
+from factorlab.llm import fm_classifier, induced_sorting, jaccard_join, media_ts, mixing, quality_rules, suffix_dedup, token_counts, url_filter, warc
 from factorlab.llm.components import components
 from factorlab.llm.jaccard_join import block_links, link_components, trie
 from factorlab.llm.mixing import apportion, mix_sources
@@ -98,6 +98,26 @@ def test_mixing(docs, none):
     assert mix_sources(none).count() == 0
 
 
+def test_mixing_of_equal_rows_and_many_shards(spark, monkeypatch):
+    """Thousands of equal rows without ids fill all shards of their source, whose shards are apportioned part by part."""
+    monkeypatch.setattr(mixing, "SHARD_WORDS", 1 << 9)
+    monkeypatch.setattr(mixing, "SHARDS", 8)
+    monkeypatch.setattr(mixing, "CHUNK", 100)
+    r = random.Random(9)
+    table = [(None, "a b c d", "a")] * 5000 + [(k, prose(r, r.randrange(0, 60)), [None, "a", "b", "c"][k % 4]) for k in range(600)]
+    docs = spark.createDataFrame(table, "doc_id long, text string, source string").repartition(5)
+    shards = mixing.plan(docs).filter("source = 'a' and size > 0").groupBy("_shard").agg(F.sum("size").alias("n")).collect()
+    assert len(shards) == -(-sum(len(words(t)) for _, t, s in table if s == "a") // 512) > 8
+    assert max(x["n"] for x in shards) < 2 * 512
+    got = mix_sources(docs).collect()
+    assert Counter((x["doc_id"], x["source"], x["size"]) for x in got) == Counter((k, s, len(words(t))) for k, t, s in table)
+    for s in (None, "a", "b", "c"):
+        own = [x for x in got if x["source"] == s]
+        assert abs(sum(x["taken"] for x in own) - own[0]["target"]) <= 70
+        assert all(x["taken"] <= 3 * x["size"] for x in own)
+    assert sorted(map(str, got)) == sorted(map(str, mix_sources(docs.repartition(2)).collect()))
+
+
 def test_apportionment_is_by_highest_quotients(spark):
     r = random.Random(2)
     for _ in range(6):

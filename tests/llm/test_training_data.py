@@ -443,6 +443,49 @@ def test_pairwise_sum_identity():
         assert got == pytest.approx(want, rel=1e-4)
 
 
+def test_fit_is_plain_gradient_descent(monkeypatch):
+    """The fitted model against a loop over rows, features and pairs of features, in double precision."""
+    monkeypatch.setattr(fm_classifier, "PASSES", 2)
+    monkeypatch.setattr(fm_classifier, "STEPS", 6)
+    monkeypatch.setattr(fm_classifier, "ROWS", 4)
+    r = random.Random(12)
+    texts = [" ".join(r.choices(["red", "blue", "green", "one", "two"], k=r.randrange(2, 8))) for _ in range(11)]
+    labels = np.array([k % 3 == 0 for k in range(11)], dtype=np.float32)
+    x = fm_classifier.features(texts, [len(t) for t in texts])
+    got = fm_classifier.fit(x, labels, seed=5)
+    draw = np.random.default_rng(5)
+    v = draw.normal(0, 0.05, (fm_classifier.FEATURES, fm_classifier.RANK))
+    rate = (labels.sum() + 1) / (len(labels) + 2)
+    bias, past_bias, linear, past, past_v = float(np.log(rate / (1 - rate))), 1e-6, defaultdict(float), defaultdict(lambda: 1e-6), defaultdict(lambda: np.full(fm_classifier.RANK, 1e-6))
+    rows = [list(zip(x.index[a:b].tolist(), x.value[a:b].astype(float).tolist(), strict=True)) for a, b in itertools.pairwise(x.begin)]
+
+    def odds(row: list[tuple[int, float]]) -> float:
+        return bias + sum(linear[i] * a for i, a in row) + sum(v[i] @ v[j] * a * b for (i, a), (j, b) in itertools.combinations(row, 2))
+
+    for _ in range(max(2, -(-6 * 4 // 11))):
+        order = draw.permutation(11)
+        for at in range(0, 11, 4):
+            own = order[at : at + 4]
+            off = {k: (1 / (1 + np.exp(-odds(rows[k]))) - labels[k]) / len(own) for k in own}
+            used = {i for k in own for i, _ in rows[k]}
+            slope = {i: fm_classifier.SHRINK * linear[i] for i in used}
+            slope_v = {i: fm_classifier.SHRINK * v[i] for i in used}
+            for k in own:
+                for i, a in rows[k]:
+                    slope[i] += off[k] * a
+                    slope_v[i] = slope_v[i] + off[k] * a * sum((v[j] * b for j, b in rows[k] if j != i), np.zeros(fm_classifier.RANK))
+            for i in used:
+                past[i] += slope[i] ** 2
+                linear[i] -= fm_classifier.STEP * slope[i] / past[i] ** 0.5
+                past_v[i] = past_v[i] + slope_v[i] ** 2
+                v[i] = v[i] - fm_classifier.STEP * slope_v[i] / np.sqrt(past_v[i])
+            past_bias += sum(off.values()) ** 2
+            bias -= fm_classifier.STEP * sum(off.values()) / past_bias**0.5
+    assert got.bias == pytest.approx(bias, abs=1e-4)
+    assert got.odds(x) == pytest.approx([odds(row) for row in rows], abs=2e-3)
+    assert max(abs(got.linear[i] - linear[i]) for i in linear) < 1e-3
+
+
 def test_quality_classifier(spark, docs, none, sf_dir):
     got = QUERIES["op7_quality_classifier"](spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").collect()
     held = [r for r in got if r["held_out"]]

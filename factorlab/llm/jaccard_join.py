@@ -4,7 +4,7 @@ Shingles are 64-bit hashes, and their order by value is the global order. Docume
 
 1. Prefixes. Sets of n and of any similar size that reach the threshold share at least l of the first n - ceil(3n/4) + l shingles
    of the global order. With l = n/8 these prefixes, by parts of the hash space, show which of their shingles another class has; a
-   class with too few of them links with nothing. Of the others, ordered by how many classes have them, all but the last l - 1 are
+   class with too few of them links with nothing. Shingles that very many prefixes have are dealt out by class and counted apart. Of the others, ordered by how many classes have them, all but the last l - 1 are
    enough for two classes that link to meet: these are a class's link shingles.
 2. Chunks. Classes that meet in large groups have one home; a chunk is a bounded number of classes of one home and of similar sizes. Each class is in one chunk.
 3. Blocks. Chunks of which some classes meet are held against each other, so each pair of classes that meet is tested in one block.
@@ -21,11 +21,12 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import U64, Scratch, batch_words, mix, sliced, stream, written
+from .common import U64, Scratch, batch_words, checkpointed, mix, sliced, stream, written
 from .components import components
 
 WORDS = 5
@@ -34,6 +35,10 @@ PLACES = stream(WORDS, 23) | U64(1)
 SIDE, SIDE_SHINGLES = 512, 1 << 17
 #: Bytes of text for each part of the hash space; a part's prefix shingles take about as much in its task.
 PART_BYTES = 16 << 20
+#: A shingle that is more than one in HOT of all in prefixes is dealt out by class, not by part: HOT shingles at most.
+HOT = 100_000
+#: Shingles whose counts a task keeps while it looks for those.
+KEPT = 1 << 20
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -135,76 +140,133 @@ def block_links(a: list[np.ndarray], b: list[np.ndarray]) -> Iterator[tuple[int,
 
 FACTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("h", T.LongType()), T.StructField("cls", T.LongType()), T.StructField("n", T.LongType()), T.StructField("shingle", T.LongType()), T.StructField("df", T.LongType())])
 _FACTS = pa.schema([(f.name, pa.int64()) for f in FACTS])
-PACKS = "part int, doc_id long, h long, cls long, n long, pack binary"
-_PACKS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("pack", pa.binary())])
+PACKS = "part int, doc_id long, h long, cls long, n long, hot boolean, pack binary"
+_PACKS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("cls", pa.int64()), ("n", pa.int64()), ("hot", pa.bool_()), ("pack", pa.binary())])
 
 
-def _prefixes(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and for each part of the hash space one with the batch's prefix shingles, their classes and sizes."""
+def _heads(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The classes of sets; the prefix shingles of each class once, and of which set each is."""
+    ids = np.array([set_id(x) for x in sets], dtype=np.int64)
+    first = np.unique(ids, return_index=True)[1]
+    heads = [sets[k][: len(sets[k]) - needed(len(sets[k])) + spare(len(sets[k]))] for k in first]
+    return ids, np.concatenate(heads) if heads else np.zeros(0, U64), np.repeat(first, [len(x) for x in heads])
+
+
+def _counted(shingle: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Equal shingles' counts added up; of more than KEPT shingles the half with the larger counts stays, each less by what the others had at most."""
+    own, at = np.unique(shingle, return_inverse=True)
+    n = np.bincount(at, n, len(own)).astype(np.int64)
+    if len(own) > KEPT:
+        n = n - np.partition(n, len(n) - KEPT // 2 - 1)[len(n) - KEPT // 2 - 1]
+        own, n = own[n > 0], n[n > 0]
+    return own, n
+
+
+def _frequent(hot: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles that are more than one in `hot` of all in a task's prefixes, with their counts, and (null, the number of all)."""
+    own, n, total = np.zeros(0, U64), np.zeros(0, np.int64), 0
+    for batch in sliced(batches, "text"):
+        shingle = _heads([shingles(w) for w in batch_words(batch.column("text").to_pylist())])[1]
+        total += len(shingle)
+        own, n = _counted(np.append(own, shingle), np.append(n, np.ones(len(shingle), np.int64)))
+    some = n * hot > total
+    yield pa.RecordBatch.from_arrays([pa.concat_arrays([pa.array(own[some].view(np.int64)), pa.nulls(1, pa.int64())]), pa.array(np.append(n[some], total))], ["shingle", "n"])
+
+
+def frequent_shingles(docs: DataFrame) -> np.ndarray:
+    """The shingles that more than two or three in HOT of all in prefixes are, in order; none of them is less than one in HOT.
+
+    All texts are counted. A task leaves out shingles that are less than one in HOT of its own, so all that is left out of one
+    shingle is less than about one in HOT of everything. Where a shingle is dealt to depends on this, what is found does not.
+    """
+    found = docs.select("text").mapInArrow(partial(_frequent, HOT), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n"))
+    found = checkpointed(found)
+    total = found.filter("shingle is null").agg(F.sum("n")).first()[0] or 0
+    rows = found.filter(F.col("shingle").isNotNull() & (F.col("n") * HOT > total)).select("shingle").collect()
+    return np.sort(np.array([r["shingle"] for r in rows], dtype=np.int64).view(U64))
+
+
+def _prefixes(parts: int, hot: Broadcast, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each document, and for each part of the hash space one with the batch's prefix shingles, their classes and sizes; frequent shingles are in rows of their own, by shingle and class."""
+    often = hot.value
     for batch in sliced(batches, "text"):
         sets = [shingles(w) for w in batch_words(batch.column("text").to_pylist())]
-        ids, sizes = np.array([set_id(x) for x in sets], dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64)
+        ids, shingle, own = _heads(sets)
+        sizes = np.array([len(x) for x in sets], dtype=np.int64)
         n = len(sets)
         doc_ids, h = batch.column("doc_id"), batch.column("h")
-        nulls = pa.nulls(n, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array((ids % parts).astype(np.int32)), doc_ids, h, pa.array(ids), pa.array(sizes), nulls], schema=_PACKS)
-        first = np.unique(ids, return_index=True)[1]
-        heads = [sets[k][: len(sets[k]) - needed(len(sets[k])) + spare(len(sets[k]))] for k in first]
-        shingle = np.concatenate(heads) if heads else np.zeros(0, U64)
-        own = np.repeat(first, [len(x) for x in heads])
-        part = ((shingle >> U64(33)) % U64(parts)).astype(np.int32)
-        order = np.argsort(part, kind="stable")
-        cuts = np.flatnonzero(np.diff(part[order])) + 1
+        yield pa.RecordBatch.from_arrays([pa.array((ids % parts).astype(np.int32)), doc_ids, h, pa.array(ids), pa.array(sizes), pa.nulls(n, pa.bool_()), pa.nulls(n, pa.binary())], schema=_PACKS)
+        loose = np.isin(shingle, often)
+        place = np.where(loose, mix(shingle ^ ids[own].view(U64)), shingle)
+        part = ((place >> U64(33)) % U64(parts)).astype(np.int32)
+        order = np.lexsort((part, loose))
+        cuts = np.flatnonzero((np.diff(part[order]) != 0) | (np.diff(loose[order].astype(np.int8)) != 0)) + 1
         groups = [g for g in np.split(order, cuts) if len(g)]
         packs = [b"".join([len(g).to_bytes(8, "little"), shingle[g].tobytes(), ids[own[g]].tobytes(), sizes[own[g]].astype(np.int32).tobytes()]) for g in groups]
         k = len(groups)
-        yield pa.RecordBatch.from_arrays([pa.array([int(part[g[0]]) for g in groups], pa.int32()), *[pa.nulls(k, pa.int64())] * 4, pa.array(packs, pa.binary())], schema=_PACKS)
+        yield pa.RecordBatch.from_arrays([pa.array([int(part[g[0]]) for g in groups], pa.int32()), *[pa.nulls(k, pa.int64())] * 4, pa.array([bool(loose[g[0]]) for g in groups], pa.bool_()), pa.array(packs, pa.binary())], schema=_PACKS)
+
+
+def _distinct(s: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each pair of shingle and class once, with the class's size, in order."""
+    order = np.lexsort((c, s))
+    s, c, n = s[order], c[order], n[order]
+    new = np.append([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1]))[: len(s)]
+    return s[new], c[new], n[new]
+
+
+def _met(s: np.ndarray, c: np.ndarray, n: np.ndarray, df: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+    for k in range(0, len(s), 1 << 16):
+        cut = slice(k, k + (1 << 16))
+        rows = len(s[cut])
+        none = pa.nulls(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([none, none, pa.array(c[cut]), pa.array(n[cut].astype(np.int64)), pa.array(s[cut]), none if df is None else pa.array(df[cut].astype(np.int64))], schema=_FACTS)
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The documents' rows, and (class, size, shingle, df) of the prefix shingles that several classes have."""
-    shingle, cls, size = [], [], []
+    """The documents' rows; (class, size, shingle, df) of the prefix shingles that several classes have; of frequent shingles the same without df, as their classes are in many parts."""
+    packed: list[tuple] = []
+    loose: list[tuple] = []
+    held, most = 0, KEPT
     for batch in batches:
         docs = batch.filter(batch.column("pack").is_null())
         if docs.num_rows:
             none = pa.nulls(docs.num_rows, pa.int64())
             yield pa.RecordBatch.from_arrays([docs.column("doc_id"), docs.column("h"), docs.column("cls"), docs.column("n"), none, none], schema=_FACTS)
-        for raw in batch.column("pack").to_pylist():
+        for raw, hot in zip(batch.column("pack").to_pylist(), batch.column("hot").to_pylist(), strict=True):
             if raw is not None:
                 k = int.from_bytes(raw[:8], "little")
-                shingle.append(np.frombuffer(raw, np.int64, k, 8))
-                cls.append(np.frombuffer(raw, np.int64, k, 8 + 8 * k))
-                size.append(np.frombuffer(raw, np.int32, k, 8 + 16 * k))
-    if not shingle:
+                (loose if hot else packed).append((np.frombuffer(raw, np.int64, k, 8), np.frombuffer(raw, np.int64, k, 8 + 8 * k), np.frombuffer(raw, np.int32, k, 8 + 16 * k)))
+                held += k if hot else 0
+        if held > most:  # copies of a text bring the same pairs again and again
+            loose = [_distinct(*map(np.concatenate, zip(*loose, strict=True)))]
+            held, most = 0, max(KEPT, len(loose[0][0]))
+    if loose:
+        yield from _met(*_distinct(*map(np.concatenate, zip(*loose, strict=True))), None)
+    if not packed:
         return
-    s, c, n = np.concatenate(shingle), np.concatenate(cls), np.concatenate(size)
+    s, c, n = map(np.concatenate, zip(*packed, strict=True))
     # shingles met once go first, before the larger sort
     order = np.argsort(s, kind="stable")
     s, c, n = s[order], c[order], n[order]
     same = s[1:] == s[:-1]
     twice = np.append(same, False) | np.append([False], same)
-    s, c, n = s[twice], c[twice], n[twice]
+    s, c, n = _distinct(s[twice], c[twice], n[twice])
     if not len(s):
         return
-    order = np.lexsort((c, s))
-    s, c, n = s[order], c[order], n[order]
-    new = np.append([True], (s[1:] != s[:-1]) | (c[1:] != c[:-1]))
-    s, c, n = s[new], c[new], n[new]
     starts = np.flatnonzero(np.append([True], s[1:] != s[:-1]))
     df = np.diff(np.append(starts, len(s)))
     df = np.repeat(df, df)
     keep = df > 1
-    for k in range(0, int(keep.sum()), 1 << 16):
-        cut = slice(k, k + (1 << 16))
-        rows = int(len(s[keep][cut]))
-        yield pa.RecordBatch.from_arrays([*[pa.nulls(rows, pa.int64())] * 2, pa.array(c[keep][cut]), pa.array(n[keep][cut].astype(np.int64)), pa.array(s[keep][cut]), pa.array(df[keep][cut].astype(np.int64))], schema=_FACTS)
+    yield from _met(s[keep], c[keep], n[keep], df[keep])
 
 
 def facts(docs: DataFrame) -> DataFrame:
-    """One pass over the texts: rows of documents (doc_id, the hash h of the text, cls, n) and rows of meetings (cls, n, shingle, df)."""
+    """Rows of documents (doc_id, the hash h of the text, cls, n) and rows of meetings (cls, n, shingle, df), of which those of frequent shingles have no df yet."""
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-volume // PART_BYTES))
-    packed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(partial(_prefixes, parts), PACKS)
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_shingles(docs))
+    packed = docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(partial(_prefixes, parts, hot), PACKS)
     return packed.repartition(parts, "part").mapInArrow(_meetings, FACTS)
 
 
@@ -306,7 +368,11 @@ def link_components(docs: DataFrame) -> DataFrame:
     """
     with Scratch(docs.sparkSession) as scratch:
         table = scratch.written(facts(docs))
-        own, meetings = scratch.written(table.filter("shingle is null").select("doc_id", "h", "cls", "n")), table.filter("shingle is not null")
+        own, meetings = scratch.written(table.filter("shingle is null").select("doc_id", "h", "cls", "n")), table.filter("shingle is not null").select("cls", "n", "shingle", "df")
+        # frequent shingles are HOT at most, and so are their counts
+        loose = meetings.filter("df is null").drop("df")
+        met = scratch.written(loose.groupBy("shingle").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
+        meetings = meetings.filter("df is not null").unionByName(loose.join(F.broadcast(met), "shingle"))
         classes = scratch.written(own.groupBy("cls", "n").agg(F.min(F.struct("doc_id", "h")).alias("one"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("first"), F.count(F.lit(1)).alias("copies")))
 
         # classes that share enough, and their link shingles

@@ -47,11 +47,16 @@ pairs AS MATERIALIZED (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON
 reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a)
 SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, least(doc_id, coalesce(least_id, doc_id)) AS component_id, coalesce(links, 0) AS n_links
 FROM s LEFT JOIN (SELECT a AS doc_id, min(b) AS least_id FROM reach GROUP BY a) USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS links FROM pairs GROUP BY a) USING (doc_id)""",
-    "op9_warc": """
-WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
-kept AS (SELECT d, max(page_id) AS of FROM p WHERE n >= 1000 GROUP BY d)
-SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id < of THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < of THEN of END AS refers_to
-FROM p LEFT JOIN kept USING (d)""",
+    # the place of a capture in its URL's history is what the merge of all runs gives
+    "op9_warc": r"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS url, octet_length(encode(coalesce(html, ''))) AS n, sha1(coalesce(html, '')) AS d FROM pages),
+kept AS (SELECT d, max(page_id) AS of FROM p WHERE n >= 1000 GROUP BY d),
+u AS (SELECT page_id, strpos(url, '://') > 0 AS whole, substr(url, strpos(url, '://') + 3) AS rest, strftime(TIMESTAMP '2000-01-01' + to_seconds(((page_id % 3155760000) + 3155760000) % 3155760000), '%Y-%m-%dT%H:%M:%SZ') AS timestamp FROM p),
+k AS (SELECT page_id, timestamp, CASE WHEN whole THEN lower(array_to_string(list_reverse(string_split(regexp_extract(rest, '^([^/?#:]*)', 1), '.')), ',') || regexp_extract(rest, '^[^/?#:]*(:[0-9]+)?', 1) || ')'
+  || regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) || regexp_extract(rest, '^[^?#]*([?][^#]+)', 1)) ELSE '' END AS url_key FROM u)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, d AS payload_digest, CASE WHEN page_id < of THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN page_id < of THEN of END AS refers_to,
+  url_key, timestamp, row_number() OVER (PARTITION BY url_key ORDER BY timestamp, page_id) AS capture
+FROM p LEFT JOIN kept USING (d) JOIN k USING (page_id)""",
     "op11_dialog_repair": repair_sql(),
     "op13_vector_codes": codes_sql(),
 }
@@ -95,7 +100,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @registered
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return archive_pages(read(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url_key", "timestamp", "capture")
 
 
 @registered

@@ -38,7 +38,7 @@ WITH w AS (SELECT doc_id, coalesce(text, '') AS t, {WORDS.format('text')} AS w F
 three AS (SELECT doc_id, i, w[i : i + 2] AS x FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM w)),
 again AS (SELECT doc_id, list(i) AS starts FROM three GROUP BY doc_id, x HAVING count(*) > 1),
 places AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM (SELECT doc_id, unnest(starts) AS i FROM again), range(3) r(k) GROUP BY doc_id),
-lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^ 	-]')) AS l FROM w)
+lines AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda y: regexp_matches(y, '[^\x20\x09-\x0D]')) AS l FROM w)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
   CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(w) < 50 OR 100 * coalesce(n, 0) > 50 * len(w) AS base_failed
 FROM w JOIN lines USING (doc_id) LEFT JOIN places USING (doc_id)""",

@@ -9,11 +9,9 @@ import re
 import tracemalloc
 import zlib
 from collections import Counter, defaultdict
-from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
-import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -372,43 +370,6 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(40, 91), 40), 1: 1, 2: 1, 3: 3, 7: 3}
 
 
-def test_jaccard_join_of_frequent_shingles(spark, monkeypatch):
-    """Shingles that many prefixes have are dealt out by class and link the same: a line that a third of all texts begin with, copies, and all shingles at once."""
-    r = random.Random(33)
-    line = prose(r, 40)
-    table = [(k, f"{line} {prose(r, r.randrange(1, 60))}") for k in range(80)] + [(100 + k, line) for k in range(30)] + [(200 + k, prose(r, 50)) for k in range(60)] + [(None, ""), (300, None)]
-    df, want = spark.createDataFrame(table, "doc_id long, text string").repartition(5), want_linked(table)
-    for hot in (100, 10**9):
-        monkeypatch.setattr(jaccard_join, "HOT", hot)
-        assert linked(df) == want
-    monkeypatch.setattr(jaccard_join, "HOT", 100)
-    own = jaccard_join.frequent_shingles(df)
-    sets = {tuple(jaccard_join.shingles(w).tolist()) for w in jaccard_join.batch_words([t for _, t in table])}
-    often = Counter(s for x in sets for s in x[: len(x) - jaccard_join.needed(len(x)) + jaccard_join.spare(len(x))])
-    assert 0 < len(own) <= 100 and max(often.values()) > 40 and set(own.tolist()) >= {s for s, n in often.items() if n > 40}
-    # no part has much more of the frequent shingles than others
-    batch = pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in table], "text": [t for _, t in table], "h": list(range(len(table)))})
-    packs = [x for b in jaccard_join._prefixes(16, SimpleNamespace(value=own), iter([batch])) for x in b.to_pylist() if x["hot"]]
-    many = Counter()
-    for x in packs:
-        many[x["part"]] += int.from_bytes(x["pack"][:8], "little")
-    assert len(many) == 16 and max(many.values()) < 3 * sum(many.values()) / 16
-
-
-def test_counts_of_frequent_shingles(monkeypatch):
-    """What is counted less than it is, is less than twice what one in KEPT is."""
-    monkeypatch.setattr(jaccard_join, "KEPT", 64)
-    r = np.random.default_rng(3)
-    own, n, seen = np.zeros(0, np.uint64), np.zeros(0, np.int64), Counter()
-    for _ in range(50):
-        some = np.append(r.integers(0, 5000, 300), np.repeat([7, 9], [40, 25])).astype(np.uint64)
-        seen.update(some.tolist())
-        own, n = jaccard_join._counted(np.append(own, some), np.append(n, np.ones(len(some), np.int64)))
-        assert len(own) <= 64
-    kept, total = dict(zip(own.tolist(), n.tolist(), strict=True)), sum(seen.values())
-    assert all(c - 2 * total / 64 <= kept.get(s, 0) <= c for s, c in seen.items())
-
-
 # -- 6
 
 

@@ -140,14 +140,14 @@ _PACKS = pa.schema([("part", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64
 
 
 def _prefixes(parts: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each document, and for each part of the hash space one with the batch's prefix shingles, their classes and sizes."""
+    """A row for each document, those of one class in all parts, and for each part of the hash space one with the batch's prefix shingles, their classes and sizes."""
     for batch in sliced(batches, "text"):
         sets = [shingles(w) for w in batch_words(batch.column("text").to_pylist())]
         ids, sizes = np.array([set_id(x) for x in sets], dtype=np.int64), np.array([len(x) for x in sets], dtype=np.int64)
         n = len(sets)
         doc_ids, h = batch.column("doc_id"), batch.column("h")
         nulls = pa.nulls(n, pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array((ids % parts).astype(np.int32)), doc_ids, h, pa.array(ids), pa.array(sizes), nulls], schema=_PACKS)
+        yield pa.RecordBatch.from_arrays([pa.array(((ids + np.arange(n)) % parts).astype(np.int32)), doc_ids, h, pa.array(ids), pa.array(sizes), nulls], schema=_PACKS)
         first = np.unique(ids, return_index=True)[1]
         heads = [sets[k][: len(sets[k]) - needed(len(sets[k])) + spare(len(sets[k]))] for k in first]
         shingle = np.concatenate(heads) if heads else np.zeros(0, U64)

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -370,6 +371,17 @@ def test_components(spark):
     assert got == {**dict.fromkeys(range(40, 91), 40), 1: 1, 2: 1, 3: 3, 7: 3}
 
 
+def test_jaccard_join_of_a_third_of_all(spark):
+    """A line that a third of all texts begin with, and copies; rows of one text are dealt out to all parts."""
+    r = random.Random(33)
+    line = prose(r, 40)
+    table = [(k, f"{line} {prose(r, r.randrange(1, 60))}") for k in range(80)] + [(100 + k, line) for k in range(60)] + [(200 + k, prose(r, 50)) for k in range(60)] + [(None, ""), (300, None)]
+    assert linked(spark.createDataFrame(table, "doc_id long, text string").repartition(5)) == want_linked(table)
+    batch = pa.RecordBatch.from_pydict({"doc_id": [k for k, _ in table], "text": [line] * len(table), "h": [1] * len(table)})
+    many = Counter(x["part"] for b in jaccard_join._prefixes(16, iter([batch])) for x in b.to_pylist() if x["pack"] is None)
+    assert len(many) == 16 and max(many.values()) - min(many.values()) <= 1
+
+
 # -- 6
 
 
